@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from gridloom.llm import mixing, quality
+from gridloom.llm import licenses, media, mixing, quality, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": quality.op1_quality,
         "op2_mixing": mixing.op2_mixing,
+        "op5_media": media.op5_media,
+        "op6_toxicity": toxicity.op6_toxicity,
+        "op8_secrets": secrets.op8_secrets,
+        "op9_licenses": licenses.op9_licenses,
     }
 
 
