@@ -47,11 +47,11 @@ class Chunk:
     name: str
 
 
-def chunks(batch: pa.RecordBatch) -> Iterator[Chunk]:
+def chunks(batch: pa.RecordBatch, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
     """The chunks of a batch with the columns doc_id and text."""
     offsets, data = buffers(batch.column(1))
     ids = batch.column(0).to_pylist()
-    for i, j in slices(offsets, CHUNK_BYTES):
+    for i, j in slices(offsets, size):
         part = data[offsets[i] : offsets[j]]
         at = offsets[i : j + 1] - offsets[i]
         name = hashlib.sha256(part.tobytes() + at.tobytes() + repr(ids[i:j]).encode()).hexdigest()[:40]
@@ -107,12 +107,12 @@ def cut(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
-def request(docs: DataFrame, ask: Callable[[Chunk], Iterator[tuple[int, bytes]]]) -> DataFrame:
+def request(docs: DataFrame, ask: Callable[[Chunk], Iterator[tuple[int, bytes]]], size: int = CHUNK_BYTES) -> DataFrame:
     """Rows (bucket, chunk, body): what ``ask`` yields for each chunk of ``docs`` (doc_id, text)."""
 
     def run(batches):
         for b in batches:
-            for c in chunks(b):
+            for c in chunks(b, size):
                 got = list(ask(c))
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int32()), pa.array([c.name] * len(got), pa.string()), pa.array([x[1] for x in got], pa.binary())], ["bucket", "chunk", "body"])
