@@ -10,8 +10,8 @@ The rank is a total order over a source, yet no task ever holds a source: the ra
 intervals, words are summed by (source, interval), and only the one interval that holds the cut is ranked row by row.
 
 Defined results: a null source is one source, last in order; a null or empty text has size 0 and is never taken;
-repeated doc_ids are kept as rows of their own, ties of rank fall to the smaller doc_id and then the smaller size
-(equal rows are interchangeable); an empty table gives an empty result; further columns of the input are ignored.
+repeated doc_ids are rows of their own, ties of rank fall to the smaller doc_id and then the smaller size, and
+rows equal in all three are drawn together; an empty table gives an empty result; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -55,12 +55,18 @@ def uniform(*keys: Column) -> Column:
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long").cast("double") + 0.5) / float(1 << 48)
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target of its source, copies taken and words taken."""
-    sized = materialize(docs.select(F.col("doc_id"), F.col("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes")
-    tier = F.when(F.col("size") < MINOR_WORDS, MINOR).otherwise(1.0)
-    # A row per source and tier: the windows below run over these few rows only.
-    tiers = sized.groupBy("source", tier.alias("tier")).agg(F.sum("size").cast("double").alias("tier_size"))
+def sizes(text: str) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def tier_of(size: Column) -> Column:
+    return F.when(size < MINOR_WORDS, MINOR).otherwise(1.0)
+
+
+def shares(sized: DataFrame) -> DataFrame:
+    """A row for each source and tier of ``sized`` (doc_id, source, size): source_size, target of the source, certain copies and inclusion probability."""
+    tiers = sized.groupBy("source", tier_of(F.col("size")).alias("tier")).agg(F.sum("size").cast("double").alias("tier_size"))
+    # The windows below run over a row per source or tier, never over documents.
     sources = tiers.groupBy("source").agg(F.sum("tier_size").alias("source_size"))
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())) - 1
     weight = reduce(lambda c, k: c.when(F.col("_place") % len(WEIGHTS) == k, WEIGHTS[k]), range(1, len(WEIGHTS)), F.when(F.col("_place") % len(WEIGHTS) == 0, WEIGHTS[0]))
@@ -71,30 +77,76 @@ def mix(docs: DataFrame) -> DataFrame:
     plan = plan.withColumns({"tier_weight": F.col("tier") * F.col("tier_size"), "tier_cap": MOST * F.col("tier_size")})
     plan = water_fill(plan, ["source"], F.col("source_target"), "tier_weight", "tier_cap", [F.col("tier")])
     copies = F.when(F.col("tier_size") > 0, F.least(F.col("target") / F.col("tier_size"), F.lit(MOST))).otherwise(0.0)
-    plan = materialize(plan.select("source", "tier", F.col("source_size").cast("long").alias("source_size"), F.col("source_target").alias("target"), F.floor(copies).alias("whole"), (copies - F.floor(copies)).alias("pi"), "tier_size"), "mix-plan")
-    left = plan.groupBy("source").agg((F.first("target") - F.sum(F.col("whole") * F.col("tier_size"))).alias("open"))
+    return plan.select("source", "tier", F.col("source_size").cast("long").alias("source_size"), F.col("source_target").alias("target"), F.floor(copies).alias("whole"), (copies - F.floor(copies)).alias("pi"), "tier_size")
+
+
+def rank_of(doc_id: str, size: Column, pi: Column) -> Column:
+    """Random odds by inclusion odds; null for what can't be drawn."""
+    u = uniform(F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), size.cast("string"))
+    return F.when((pi > 0) & (size > 0), (u / (1 - u)) / (pi / (1 - pi)))
 
-    # At most two rows per source stand on this side, so the broadcast is of the number of sources.
-    d = sized.withColumn("tier", tier).alias("d").join(F.broadcast(plan).alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.tier") == F.col("p.tier"))).select("doc_id", "d.source", "size", "source_size", "target", "whole", "pi")
-    u = uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("size").cast("string"))
-    d = d.withColumn("rank", F.when((F.col("pi") > 0) & (F.col("size") > 0), (u / (1 - u)) / (F.col("pi") / (1 - F.col("pi")))))
+
+def cuts(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """(source, edge): the last (rank, doc_id, size) in the rank order of a source that is drawn; a source with nothing to draw or to leave has no row."""
+    left = plan.groupBy("source").agg((F.first("target") - F.sum(F.col("whole") * F.col("tier_size"))).alias("open"))
+    d = with_plan(sized, plan, "source", F.col("size")).select("doc_id", "source", "size", rank_of("doc_id", F.col("size"), F.col("pi")).alias("rank")).where("rank is not null")
     # rank / (1 + rank) maps the ranks to (0, 1) in their order; equal steps of it are the intervals.
     d = d.withColumn("interval", F.floor(F.col("rank") / (1 + F.col("rank")) * INTERVALS).cast("int"))
-    sums = d.where("rank is not null").groupBy("source", "interval").agg(F.sum("size").alias("words"))
+    sums = d.groupBy("source", "interval").agg(F.sum("size").alias("words"))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("interval").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = sums.withColumn("before", before).alias("a").join(F.broadcast(left).alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).where((F.col("before") <= F.col("open")) & (F.col("open") < F.col("before") + F.col("words")))
-    cut = cut.select("a.source", F.col("interval").alias("cut"), "before", "open")
-    d = d.alias("d").join(F.broadcast(cut).alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")), "left").select("d.*", "cut", "before", "open")
-    # Only the interval with the cut is ranked; a source without a cut takes all its ranked rows (open covers them).
-    edge = d.where("interval = cut")
-    run = Window.partitionBy("source", "interval").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # INTERVALS rows per source at most; one of them holds the cut.
+    cut = sums.withColumn("before", before).alias("a").join(F.broadcast(left).alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.source", "interval", "words", "before", "open")
+    cut = cut.where((F.col("before") <= F.col("open")) & (F.col("open") < F.col("before") + F.col("words")))
+    edge = d.alias("d").join(F.broadcast(cut).alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.interval") == F.col("c.interval"))).select("d.source", "doc_id", "size", "rank", "before", "open")
+    run = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     done = F.col("before") + F.sum("size").over(run)
     # A document is in while the middle of its words lies under what is open: the sum ends at the nearest place.
-    edge = edge.withColumn("extra", (done - F.col("size") / 2 <= F.col("open")).cast("int"))
-    rest = d.where("cut is null or interval is null or interval <> cut").withColumn("extra", (F.col("rank").isNotNull() & (F.col("cut").isNull() | (F.col("interval") < F.col("cut")))).cast("int"))
-    out = rest.unionByName(edge)
-    total = (F.col("whole") + F.col("extra")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, total).otherwise(F.lit(0).cast("long")).alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    drawn = edge.withColumn("in", done - F.col("size") / 2 <= F.col("open"))
+    key = F.struct("rank", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "size")
+    # If none of the interval is drawn, the cut lies just under it.
+    return drawn.groupBy("source").agg(F.max(F.when(F.col("in"), key)).alias("last"), F.min(key).alias("first")).select("source", "last", "first")
+
+
+def with_plan(docs: DataFrame, plan: DataFrame, source: str, size: Column) -> DataFrame:
+    """``docs`` with the plan's columns of each row's source and tier; the plan has two rows per source at most, so its broadcast is bounded by their number."""
+    p = plan.toDF(*("_p_" + c for c in plan.columns))
+    out = docs.join(F.broadcast(p), F.col(source).eqNullSafe(F.col("_p_source")) & (tier_of(size) == F.col("_p_tier")))
+    return out.withColumnsRenamed({"_p_" + c: c for c in plan.columns if c not in ("source", "tier")}).drop("_p_source", "_p_tier")
+
+
+def copies_of(docs: DataFrame, plan: DataFrame, edges: DataFrame, doc_id: str, source: str, size: str) -> DataFrame:
+    """``docs`` with source_size, target and copies: certain copies, and one more up to the cut of its source."""
+    d = with_plan(docs, plan, source, F.col(size)).drop("tier_size")
+    e = edges.toDF("_e_source", "_e_last", "_e_first")
+    d = d.join(F.broadcast(e), F.col(source).eqNullSafe(F.col("_e_source")), "left")
+    rank = rank_of(doc_id, F.col(size), F.col("pi"))
+    key = F.struct(rank.alias("rank"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col(size).alias("size"))
+    extra = F.when(rank.isNull(), 0).when(F.col("_e_source").isNull(), 1).when(F.col("_e_last").isNotNull(), (key <= F.col("_e_last")).cast("int")).otherwise((key < F.col("_e_first")).cast("int"))
+    return d.withColumn("copies", F.when(F.col(size) > 0, (F.col("whole") + extra).cast("long")).otherwise(F.lit(0).cast("long"))).drop("whole", "pi", "_e_source", "_e_last", "_e_first")
+
+
+def decide(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sizes of the documents, shares, cuts), all in the shared folder."""
+    sized = materialize(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), sizes(text).alias("size")), "mix-sizes")
+    plan = materialize(shares(sized), "mix-shares")
+    return sized, plan, materialize(cuts(sized, plan), "mix-cuts")
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target of its source, copies and words taken."""
+    sized, plan, edges = decide(docs)
+    return copies_of(sized, plan, edges, "doc_id", "source", "size").withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: each document as often as it is taken. The decision is a map over documents, so no text is shuffled."""
+    names = docs.columns
+    flat = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    doc_id, source, text = (f"c{names.index(n)}" for n in ("doc_id", "source", "text"))
+    _, plan, edges = decide(flat, doc_id, source, text)
+    taken = copies_of(flat.withColumn("_size", sizes(text)), plan, edges, doc_id, source, "_size")
+    many = taken.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return many.select(*flat.columns).toDF(*names)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,6 +192,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, list(place.values()))
 
     some = whole.where(F.size("_found") > 0).join(live, "_uid", "left").select(*place.values(), "_live").mapInArrow(masked, flat.schema)
+    if "n_chars" in place:  # a length of the text, so it follows the text
+        some = some.withColumn(place["n_chars"], F.when(F.col(text).isNull(), F.col(place["n_chars"])).otherwise(F.char_length(text)).cast(flat.schema[place["n_chars"]].dataType))
     return whole.where(F.size("_found") == 0).select(*place.values()).unionByName(some).toDF(*names)
 
 
