@@ -1 +1 @@
-
+"""Column expressions on cell values."""
