@@ -38,7 +38,9 @@ BLOCK = 512
 def choose_bands(similarity: float = SIMILARITY, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
     """(bands, rows): the most selective banding that finds a pair of this similarity with the target recall within ``most`` hashes."""
     best = None
-    for rows in range(1, 33):
+    for rows in range(1, most + 1):
+        if similarity**rows < 1e-9:
+            break
         bands = math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
         if bands * rows <= most:
             best = bands, rows

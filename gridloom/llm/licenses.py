@@ -28,7 +28,7 @@ from gridloom.llm.common import table
 
 #: License templates: notices and the opening terms of the licenses (fixed values).
 TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0. Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice. Released under the BSD 2-Clause License.",
     "BSD-3-Clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. Released under the BSD 3-Clause License.",
     "CC-BY-4.0": "Licensed under CC BY 4.0. This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -59,7 +59,7 @@ def _compressors() -> dict[str, zstandard.ZstdCompressor]:
         plain = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False)
         _dictionaries[""] = zstandard.ZstdCompressor(compression_params=plain)
         for k, t in TEMPLATES.items():
-            _dictionaries[k] = zstandard.ZstdCompressor(compression_params=plain, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            _dictionaries[k] = zstandard.ZstdCompressor(compression_params=plain, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
     return _dictionaries
 
 
@@ -111,7 +111,7 @@ def blocks(text: str) -> list[str]:
 @functools.lru_cache(65_536)
 def savings(block: str) -> list[tuple[float, str]]:
     """(share saved, template), best first."""
-    raw = block.encode()
+    raw = block.lower().encode()
     c = _compressors()
     alone = len(c[""].compress(raw))
     return sorted(((1 - len(c[k].compress(raw)) / alone, k) for k in TEMPLATES), key=lambda x: (-x[0], x[1]))
