@@ -19,7 +19,7 @@ def own_cache(tmp_path, monkeypatch):
 
 
 def made(spark, tmp_path, codec=container.RAW, **more):
-    path = str(tmp_path / "t.tet")
+    path = str(tmp_path / "t.bin")
     t = tensor(spark, [[1, 2, 3], [4, 5, 6]], chunk=(2, 2), dim_names=("row", "col"), coords={"row": ["r0", "r1"]}, attrs={"units": "K"}, **more)
     container.write_container(path, [t], codec, history=[container.Event("convert", "test")])
     return path
@@ -40,7 +40,7 @@ def test_container_round_trip(spark, tmp_path, dtype, codec):
 
 
 def test_selection_reads_touched_tiles_only(spark, tmp_path):
-    path = str(tmp_path / "v.tet")
+    path = str(tmp_path / "v.bin")
     t = tensor(spark, np.arange(34 * 64).reshape(34, 64).tolist(), name="big", dtype="f32", chunk=(4, 4))
     container.write_container(path, [t])
     s = container.read_summary(path)
@@ -73,14 +73,14 @@ def test_append_and_session(spark, tmp_path):
 
 
 def test_long_metadata_is_spilled(spark, tmp_path):
-    path = str(tmp_path / "m.tet")
+    path = str(tmp_path / "m.bin")
     attrs = {f"k{i}": "x" * 1000 for i in range(64)}
     container.write_container(path, [tensor(spark, [1], name=f"d{i}", attrs=attrs) for i in range(2)])
     assert all(dict(d.attrs) == attrs for d in container.read_summary(path).datasets) and verify.verify(path).ok
 
 
 def test_empty_file(tmp_path):
-    path = str(tmp_path / "e.tet")
+    path = str(tmp_path / "e.bin")
     container.write_empty(path)
     assert os.path.getsize(path) == 32 and container.read_summary(path).datasets == [] and verify.verify(path).ok
 
@@ -133,7 +133,7 @@ def test_repair_of_a_footer(spark, tmp_path):
 
 @pytest.mark.parametrize("codec", [container.RAW, container.ZSTD])
 def test_zarr_round_trip(spark, tmp_path, codec):
-    path = str(tmp_path / "g.tet")
+    path = str(tmp_path / "g.bin")
     container.write_container(path, [tensor(spark, np.arange(35).reshape(5, 7).tolist(), name="primary/x", dtype="i32", chunk=(2, 3)), tensor(spark, [1.5, 2.5], name="y", dim_names=("t",))], codec)
     out = str(tmp_path / "g.zarr")
     assert zarr3.export(spark, path, out) == 9 + 1
@@ -145,7 +145,7 @@ def test_zarr_round_trip(spark, tmp_path, codec):
     assert engine.to_numpy(zarr3.open_catalog(spark, out).get("primary/x"))[:2, :3].tolist() == [[0] * 3] * 2
     with pytest.raises(ValidationError):
         zarr3.export(spark, path, out)
-    back = str(tmp_path / "back.tet")
+    back = str(tmp_path / "back.bin")
     assert sorted(convert.convert(spark, out, back)) == ["primary/x", "y"] and verify.verify(back, deep=True).ok
 
 
@@ -234,7 +234,7 @@ def test_spill_and_sidecar(spark, tmp_path):
     e = engine.execute_query_json('{"dataset": "a", "transform": {"method": "minmax"}, "execution": {"memory_budget_bytes": 1}}', c, preview_limit=0)["execution"]
     assert np.allclose(np.fromfile(e["spill_path"]), np.arange(6) / 5)
     e = engine.execute_query_json('{"dataset": "a", "selection": [{"start": 1}, {}], "transform": {"method": "center"}, "write": {"target": "sidecar", "timestamp": false}}', c, preview_limit=0)["execution"]
-    assert e["sidecar_path"] == str(tmp_path / "t.center.tet")
+    assert e["sidecar_path"] == str(tmp_path / f"t.center{container.EXTENSION}")
     s = container.read_summary(e["sidecar_path"])
     assert s.datasets[0].name == "a-center" and s.datasets[0].attrs["derived_from"] == "a" and s.datasets[0].labels(0) == ["r1"] and s.history[0].op == "transform"
     assert engine.to_numpy(container.open_tensor(spark, e["sidecar_path"], "a-center")).tolist() == [[-1, 0, 1]]
@@ -256,7 +256,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("query", "dataset = 3")[0] == 1 and run("info", str(tmp_path / "none"))[0] == 1
     assert '"mean": []' in run("history", "list")[1] and "mean=3.5" in run("history", "run", "2", "-q")[1]
     assert run("history", "--clear")[0] == 0 and history.load() == []
-    assert run("export", path, str(tmp_path / "o.zarr"))[0] == 0 and run("convert", str(tmp_path / "o.zarr"), str(tmp_path / "o.tet"))[0] == 0
+    assert run("export", path, str(tmp_path / "o.zarr"))[0] == 0 and run("convert", str(tmp_path / "o.zarr"), str(tmp_path / "o.bin"))[0] == 0
     assert run("repair", path)[1].startswith("planned: nothing")
     with open(path, "r+b") as f:
         f.write(b"X")
