@@ -6,6 +6,7 @@ are found and hashed without a Python loop over rows or characters.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -63,6 +64,15 @@ def crc_mod(doc_id: str, n: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(n)
 
 
+def release() -> None:
+    """Gives freed memory back to the system at the end of a task: Python workers stay alive for the tasks to come."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 # --------------------------------------------------------------------------- columnar text kernel
 
 _SPACE = np.zeros(256, bool)

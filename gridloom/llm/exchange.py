@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import buffers, materialize, scratch_path, slices
+from gridloom.llm.common import buffers, materialize, release, scratch_path, slices
 from gridloom.llm.media import filesystem
 
 CHUNK_BYTES = 8 << 20
@@ -116,6 +116,7 @@ def request(docs: DataFrame, ask: Callable[[Chunk], Iterator[tuple[int, bytes]]]
                 got = list(ask(c))
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int32()), pa.array([c.name] * len(got), pa.string()), pa.array([x[1] for x in got], pa.binary())], ["bucket", "chunk", "body"])
+        release()
 
     return docs.mapInArrow(run, REQUEST)
 

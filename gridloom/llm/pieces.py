@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-A text is cut into segments wherever no piece of the vocabulary spans two neighbouring characters: no segmentation can
-cross such a place. Each distinct segment of the corpus is encoded once:
+A text is cut into segments wherever no piece of the vocabulary can span two neighbouring characters (by the pair and
+the triples around it): no segmentation can cross such a place. Each distinct segment of the corpus is encoded once:
 
 1. Substrings of bounded length are exploded and equi-joined to the piece table; the matches are the edges of the
    segment's lattice.
@@ -15,15 +15,16 @@ Characters outside of the vocabulary fall back to byte pieces. Texts then look u
 The vocabulary file is a parameter; it is read on the driver, and its tables (a fixed size) go to the tasks.
 
 Defined results: null and empty texts have no pieces; the sign U+2581 is a space to the model, so a text with it decodes to
-spaces; segments of more than LONG characters take the same merges by a queue instead of the fold; repeated rows are
+spaces; segments of more than LONG characters take the same
+merges or path in a plain loop instead of the fold; repeated rows are
 encoded each; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import os
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,17 +33,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import exchange
-from gridloom.llm.common import buffers, materialize, slices, span_hashes, table
+from gridloom.llm.common import buffers, materialize, release, slices, span_hashes, table
 from gridloom.llm.exchange import Answers, Chunk, cut, n_buckets, narrow, pack, unpack
 from gridloom.llm.quality import let
 
 MODEL = os.environ.get("GRIDLOOM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
-#: Longest segment for the fold.
-LONG = 64
+#: Longest segment for the fold, and the bits of an id and of a cost in an edge (key * 2**48 + cost * 2**20 + id).
+LONG, ID_BITS, COST_BITS = 64, 20, 28
+#: Characters of a beginning that bounds the length of pieces.
+REACH = 3
 UNIGRAM, BPE = 1, 2
 
 
+#: Size of the table of triples of characters in pieces; two triples in one place only join what could be cut.
+TRIPLE_BITS = 22
+
+
+def _triple(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77) + c * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - TRIPLE_BITS)
+
+
 @dataclass
 class Vocabulary:
     """pieces: (text with plain spaces, score) by id, None for control pieces; byte_ids: id of each byte piece."""
@@ -58,10 +69,17 @@ class Vocabulary:
         code = {c: i + 1 for i, c in enumerate(inner)}
         self.codes = np.zeros(0x110000, np.uint16)
         self.codes[[ord(c) for c in inner]] = np.arange(1, len(inner) + 1)
-        self.joined = np.zeros((len(inner) + 1, len(inner) + 1), bool)
-        for p in self.pieces:
-            for a, b in zip(p[0], p[0][1:], strict=False) if p else ():
-                self.joined[code[a], code[b]] = True
+        self.pairs = np.zeros((len(inner) + 1, len(inner) + 1), bool)
+        self.triples = np.zeros(1 << TRIPLE_BITS, bool)
+        longer = [[code[c] for c in p[0]] for p in self.pieces if p and len(p[0]) > 1]
+        for p in longer:
+            if len(p) == 2:
+                self.pairs[p[0], p[1]] = True
+        flat = np.array([x for p in longer for x in zip(p, p[1:], p[2:], strict=False)], np.uint32).reshape(-1, 3)
+        self.triples[_triple(*flat.T)] = True
+        self.places = {x: k for k, x in enumerate(sorted({p[1] for p in self.pieces if p}, reverse=True))}
+        if len(self.pieces) >= 1 << ID_BITS or self.kind == UNIGRAM and not all(0 <= -p[1] < 1 << 8 for p in self.pieces if p):
+            raise ValueError("the vocabulary is too large, or its scores are out of range")
         raw = [p[0].encode() if p else b"" for p in self.pieces]
         for byte, i in enumerate(self.byte_ids):
             raw[i] = bytes([byte])
@@ -81,10 +99,23 @@ class Vocabulary:
             raise ValueError("a vocabulary with byte fallback is needed")
         return cls(pieces, [bytes_[f"<0x{b:02X}>"] for b in range(256)], kind_of(path), m.unk_id())
 
+    def cost(self, score: float) -> int:
+        """What a piece costs, as an integer: its place by score for merges, the score in units of 2**-20 for paths."""
+        return self.places[score] if self.kind == BPE else round(-score * (1 << 20))
+
     def table(self, spark: SparkSession) -> DataFrame:
-        """(piece, id, rank): the fixed piece table; a better piece has a lower rank."""
-        rows = [(p[0], i, -float(p[1])) for i, p in enumerate(self.pieces) if p]
-        return spark.createDataFrame(pa.table({"piece": [r[0] for r in rows], "id": pa.array([r[1] for r in rows], pa.int32()), "rank": [r[2] for r in rows]}))
+        """(piece, entry): the fixed piece table; an entry is cost * 2**20 + id."""
+        rows = [(p[0], (self.cost(p[1]) << ID_BITS) + i) for i, p in enumerate(self.pieces) if p]
+        return spark.createDataFrame(pa.table({"piece": [r[0] for r in rows], "entry": pa.array([r[1] for r in rows], pa.int64())}))
+
+
+    def reach(self, spark: SparkSession) -> DataFrame:
+        """(head, most): the longest piece for each beginning of REACH characters; shorter pieces need no row."""
+        most: dict[str, int] = {}
+        for p in self.pieces:
+            if p and len(p[0]) >= REACH:
+                most[p[0][:REACH]] = max(most.get(p[0][:REACH], 0), len(p[0]))
+        return spark.createDataFrame(pa.table({"head": list(most), "most": pa.array(list(most.values()), pa.int32())}), "head string, most int")
 
 
 def kind_of(path: str) -> int:
@@ -127,22 +158,31 @@ def segments(at: np.ndarray, data: np.ndarray, v: Vocabulary) -> Segments:
     points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
     size = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
     place = np.cumsum(size) - size
+    # A piece that spans two neighbours is their pair, or holds a triple of them with the character before or after.
     code = v.codes[points]
+    joined = v.pairs[code[:-1], code[1:]]
+    if len(code) > 2:
+        wide = code.astype(np.uint32)
+        triple = v.triples[_triple(wide[:-2], wide[1:-1], wide[2:])]
+        joined[1:] |= triple
+        joined[:-1] |= triple
+    joined &= (code[:-1] > 0) & (code[1:] > 0)
     apart = np.ones(len(points), bool)
-    apart[1:] = ~v.joined[code[:-1], code[1:]]
+    apart[1:] = ~joined
     apart[np.searchsorted(place, at[:-1][full])] = True
     starts = place[np.flatnonzero(apart)]
     ends = np.append(starts[1:], len(data))
-    return Segments(data, starts, ends, np.searchsorted(at, starts, "right") - 1, span_hashes(data, starts, ends), at)
+    rows = np.searchsorted(at, starts, "right") - 1
+    return Segments(data, starts.astype(np.int32), ends.astype(np.int32), rows.astype(np.int32), span_hashes(data, starts, ends), at)
 
 
-def of_chunk(c: Chunk, v: Vocabulary) -> list[tuple[int, Segments]]:
-    return [(i, segments(c.offsets[i : j + 1] - c.offsets[i], c.data[c.offsets[i] : c.offsets[j]], v)) for i, j in slices(c.offsets)]
+def of_chunk(c: Chunk, v: Vocabulary) -> Iterator[tuple[int, Segments]]:
+    return ((i, segments(c.offsets[i : j + 1] - c.offsets[i], c.data[c.offsets[i] : c.offsets[j]], v)) for i, j in slices(c.offsets))
 
 
 def _ask(v: Vocabulary, buckets: int):
     def ask(c: Chunk):
-        parts = of_chunk(c, v)
+        parts = list(of_chunk(c, v))
         hashes = np.concatenate([s.hashes for _, s in parts]) if parts else np.zeros(0, np.uint64)
         own, first = np.unique(hashes, return_index=True)
         if not len(own):
@@ -170,70 +210,118 @@ def _words(body: bytes) -> list[bytes]:
 
 
 def lattice(words: DataFrame, v: Vocabulary) -> DataFrame:
-    """(word, edges): the pieces that lie in each word, as structs (key, rank, id) with key = start * 256 + length."""
-    n = F.char_length("word")
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(v.longest), n - s)), lambda k: F.struct((s * 256 + k).alias("key"), F.substring(F.col("word"), s + 1, k).alias("piece")))))
-    each = words.select("word", F.explode(spans).alias("x")).select("word", "x.key", "x.piece")
-    # The piece table is a fixed vocabulary file, so the broadcast doesn't grow; words stay where they are.
-    found = each.join(F.broadcast(v.table(words.sparkSession)), "piece")
-    return found.groupBy("word").agg(F.collect_list(F.struct("key", "rank", "id")).alias("edges"))
+    """(word, edges, singles): the pieces of several and of one character in each word of at most LONG characters, packed, with key = start * 256 + length.
+
+    Starts and lengths are exploded as integers, so substrings are cut inside generated code.
+    """
+    spark = words.sparkSession
+    # The first three characters bound the length of a piece, so hopeless substrings are never cut.
+    reach = v.reach(spark).select(F.xxhash64("head").alias("g"), "most")
+    each = words.select("word", F.char_length("word").alias("n"))
+    each = each.select("word", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
+    each = each.withColumn("g", F.xxhash64(F.substring(F.col("word"), F.col("s") + 1, F.lit(REACH)))).join(F.broadcast(reach), "g", "left")
+    each = each.select("word", "s", F.explode(F.sequence(F.lit(1), F.least(F.coalesce("most", F.lit(REACH - 1)), F.col("n") - F.col("s")))).alias("k"))
+    each = each.select("word", (F.col("s") * 256 + F.col("k")).cast("bigint").alias("key"), F.substring(F.col("word"), F.col("s") + 1, F.col("k")).alias("piece"))
+    # The piece table is a fixed vocabulary file, so the broadcast doesn't grow; words stay where they are. Joining by
+    # the hash and then comparing pieces is the equi-join with a key of one machine word.
+    pieces = v.table(spark).select(F.xxhash64("piece").alias("h"), F.col("piece").alias("p"), "entry")
+    found = each.withColumn("h", F.xxhash64("piece")).join(F.broadcast(pieces), "h").where("piece = p")
+    packed = F.shiftleft("key", ID_BITS + COST_BITS) + F.col("entry")
+    return found.groupBy("word").agg(F.collect_list(F.when(F.col("key") % 256 > 1, packed)).alias("edges"), F.collect_list(F.when(F.col("key") % 256 == 1, packed)).alias("singles"))
+
+
+def _cost(entry: Column) -> Column:
+    return F.shiftright(entry, ID_BITS).bitwiseAND(F.lit((1 << COST_BITS) - 1))
+
+
+def _id(entry: Column) -> Column:
+    return entry.bitwiseAND(F.lit((1 << ID_BITS) - 1)).cast("int")
 
 
 def _edge(edges: Column, start: Column, end: Column) -> Column:
+    """The packed edge of a span, or null."""
     return F.try_element_at(edges, start * 256 + (end - start))
 
 
 def merge_fold(n: Column, edges: Column) -> Column:
-    """Borders of the pieces after all merges of a byte-pair model, best rank first; ``edges`` maps a key to (rank, id)."""
+    """Borders of the pieces after all merges of a byte-pair model, least cost first and leftmost among equals; ``edges`` is a map by key."""
 
     def step(b: Column, _: Column) -> Column:
-        pairs = F.transform(F.slice(b, 1, F.size(b) - 2), lambda s, j: F.struct(_edge(edges, s, F.get(b, j + 2))["rank"].alias("rank"), j.alias("j")))
-        best = F.array_min(F.filter(pairs, lambda x: x["rank"].isNotNull()))
-        return let(best, lambda x: F.when(x.isNull(), b).otherwise(F.filter(b, lambda _, i: i != x["j"] + 1)))
+        # Cost and place as one number: its minimum is the merge to make, and null where no two neighbours join.
+        best = F.array_min(F.transform(F.slice(b, 1, F.size(b) - 2), lambda s, j: F.shiftleft(_cost(_edge(edges, s, F.get(b, j + 2))), 12) + j))
+        return let(best, lambda x: F.when(x.isNull(), b).otherwise(let(x.bitwiseAND(F.lit(4095)) + 1, lambda gone: F.filter(b, lambda _, i: i != gone))))
 
     whole = F.sequence(F.lit(0), n)
     return F.when(n < 2, whole).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), whole, lambda b, i: F.when(F.size(b) < 3, b).otherwise(step(b, i))))
 
 
-def viterbi_fold(n: Column, edges: Column, longest: int, unknown: float = 1e6) -> Column:
-    """Borders of the path of least total rank; a character without a piece costs ``unknown``."""
+#: Cost of a character that has no piece, above that of any path of pieces.
+UNKNOWN = 1 << 40
+
+
+def viterbi_fold(n: Column, edges: Column, singles: Column, longest: int) -> Column:
+    """Borders of the path of least total cost."""
 
     def step(paths: Column, end: Column) -> Column:
         def through(start: Column) -> Column:
-            e = _edge(edges, start, end)
-            cost = F.coalesce(e["rank"], F.when(end - start == 1, F.lit(unknown)))
+            alone = F.when(end - start == 1, F.coalesce(_cost(_edge(singles, start, end)), F.lit(UNKNOWN)))
+            cost = F.coalesce(_cost(_edge(edges, start, end)), alone)
             return F.struct((F.get(paths, start)["cost"] + cost).alias("cost"), F.concat(F.get(paths, start)["path"], F.array(end)).alias("path"))
 
         ways = F.filter(F.transform(F.sequence(F.greatest(F.lit(0), end - longest), end - 1), through), lambda x: x["cost"].isNotNull())
         return F.concat(paths, F.array(F.array_min(ways)))
 
-    start = F.array(F.struct(F.lit(0.0).alias("cost"), F.array(F.lit(0)).alias("path")))
+    start = F.array(F.struct(F.lit(0).cast("bigint").alias("cost"), F.array(F.lit(0)).alias("path")))
     return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda p: F.element_at(p, -1)["path"])
 
 
 def fold(lattices: DataFrame, v: Vocabulary) -> DataFrame:
-    """(word, ids) from (word, edges)."""
+    """(word, ids) from (word, edges, singles)."""
     n = F.char_length("word")
-    entries = F.map_from_entries(F.transform(F.coalesce("edges", F.array().cast("array<struct<key:int,rank:double,id:int>>")), lambda e: F.struct(e["key"], F.struct(e["rank"].alias("rank"), e["id"].alias("id")))))
-    borders = (lambda m: merge_fold(n, m)) if v.kind == BPE else (lambda m: viterbi_fold(n, m, v.longest))
+
+    def by_key(name: str) -> Column:
+        packed = F.coalesce(name, F.array().cast("array<bigint>"))
+        return F.map_from_arrays(F.transform(packed, lambda e: F.shiftright(e, ID_BITS + COST_BITS).cast("int")), packed)
+
+    borders = (lambda m, one: merge_fold(n, m)) if v.kind == BPE else (lambda m, one: viterbi_fold(n, m, one, v.longest))
     byte_ids = F.array(*map(F.lit, v.byte_ids))
 
     def bytes_of(start: Column, end: Column) -> Column:
         digits = F.hex(F.encode(F.substring(F.col("word"), start + 1, end - start), "UTF-8"))
         return F.transform(F.sequence(F.lit(0), (F.length(digits) / 2).cast("int") - 1), lambda i: F.get(byte_ids, F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int")))
 
-    def ids(m: Column, b: Column) -> Column:
-        def one(start: Column, j: Column) -> Column:
+    def ids(m: Column, one: Column, b: Column) -> Column:
+        def piece(start: Column, j: Column) -> Column:
             end = F.get(b, j + 1)
-            found = _edge(m, start, end)["id"]
-            return F.when(found.isNotNull(), F.array(found)).otherwise(bytes_of(start, end))
-
-        return F.flatten(F.transform(F.slice(b, 1, F.size(b) - 1), one))
-
-    return lattices.select("word", let(entries, lambda m: let(borders(m), lambda b: ids(m, b))).alias("ids"))
+            found = F.when(end - start == 1, _edge(one, start, end)).otherwise(_edge(m, start, end))
+            return let(found, lambda e: F.when(e.isNotNull(), F.array(_id(e))).otherwise(bytes_of(start, end)))
+
+        return F.flatten(F.transform(F.slice(b, 1, F.size(b) - 1), piece))
+
+    return lattices.select("word", let(by_key("edges"), lambda m: let(by_key("singles"), lambda one: let(borders(m, one), lambda b: ids(m, one, b)))).alias("ids"))
+
+
+def path_long(text: str, v: Vocabulary, rank: dict[str, tuple[int, int]]) -> list[int]:
+    """The path of least total cost for a long segment of a unigram model."""
+    cost, back = [0] + [-1] * len(text), [0] * (len(text) + 1)
+    for end in range(1, len(text) + 1):
+        ways = []
+        for start in range(max(0, end - v.longest), end):
+            e = rank.get(text[start:end])
+            if e or end - start == 1:
+                ways.append((cost[start] + (e[0] if e else UNKNOWN), start))
+        cost[end], back[end] = min(ways)
+    borders = [len(text)]
+    while borders[-1]:
+        borders.append(back[borders[-1]])
+    out = []
+    for s, e in zip(borders[:0:-1], borders[-2::-1], strict=True):
+        found = rank.get(text[s:e])
+        out += [found[1]] if found else [v.byte_ids[x] for x in text[s:e].encode()]
+    return out
 
 
-def merge_long(text: str, v: Vocabulary, rank: dict[str, tuple[float, int]]) -> list[int]:
+def merge_long(text: str, v: Vocabulary, rank: dict[str, tuple[int, int]]) -> list[int]:
     """The merges of a byte-pair model for a long segment, by a queue."""
     left, right, end = list(range(-1, len(text) - 1)), list(range(1, len(text) + 1)), list(range(1, len(text) + 1))
     queue: list = []
@@ -266,41 +354,37 @@ def merge_long(text: str, v: Vocabulary, rank: dict[str, tuple[float, int]]) ->
 
 
 def encode_words(words: DataFrame, v: Vocabulary) -> DataFrame:
-    """(word, ids) of distinct words."""
+    """(word, ids) of distinct words; ids is null for words of more than LONG characters, which ``_packed`` fills in."""
     short = words.where(F.char_length("word") <= LONG)
-    edges = lattice(short, v)
     # Words without any edge have no row in the lattice.
-    done = fold(short.join(edges, "word", "left"), v)
-    if v.kind != BPE:
-        return fold(words.join(lattice(words, v), "word", "left"), v)
-
-    def run(batches):
-        rank = {p[0]: (-p[1], i) for i, p in enumerate(v.pieces) if p}
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([merge_long(w, v, rank) for w in b.column(0).to_pylist()], pa.list_(pa.int32()))], ["word", "ids"])
-
-    return done.unionByName(words.where(F.char_length("word") > LONG).mapInArrow(run, "word string, ids array<int>"))
+    done = fold(short.join(lattice(short, v), "word", "left"), v)
+    return done.unionByName(words.where(F.char_length("word") > LONG).select("word", F.lit(None).cast("array<int>").alias("ids")))
 
 
-def _packed(encoded: DataFrame, buckets: int) -> DataFrame:
+def _packed(encoded: DataFrame, v: Vocabulary, buckets: int) -> DataFrame:
     """(bucket, body): encodings by bucket, each body with sorted hashes, counts of ids, and ids."""
 
     def run(batches):
+        rank = {p[0]: (v.cost(p[1]), i) for i, p in enumerate(v.pieces) if p}
+        long = merge_long if v.kind == BPE else path_long
         for b in batches:
-            at, data = buffers(b.column(0))
-            n = np.diff(at)
-            order_hash = span_hashes(np.ascontiguousarray(data[at[0] : at[-1]]), at[:-1] - at[0], at[1:] - at[0]) if len(n) else np.zeros(0, np.uint64)
-            lists = b.column(1).to_pylist()
-            order = np.argsort(order_hash)
-            own = order_hash[order]
-            edges = cut(own, buckets)
+            words, ids = b.column(0), b.column(1)
+            if ids.null_count:
+                ids = pa.array([long(w, v, rank) if x is None else x for w, x in zip(words.to_pylist(), ids.to_pylist(), strict=True)], pa.list_(pa.int32()))
+            at, data = buffers(words)
+            hashes = span_hashes(np.ascontiguousarray(data[at[0] : at[-1]]), at[:-1] - at[0], at[1:] - at[0]) if len(words) else np.zeros(0, np.uint64)
+            size = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = ids.flatten().to_numpy(zero_copy_only=False)
+            begin = np.cumsum(size) - size
+            order = np.argsort(hashes)
+            edges = cut(hashes[order], buckets)
             rows = []
             for k in range(buckets):
                 mine = order[edges[k] : edges[k + 1]]
                 if len(mine):
-                    ids = [lists[i] for i in mine.tolist()]
-                    rows.append((k, pack(exchange.deltas(order_hash[mine]), narrow(np.array([len(x) for x in ids])), narrow(np.array([y for x in ids for y in x], np.int64)))))
+                    rows.append((k, pack(exchange.deltas(hashes[mine]), narrow(size[mine]), narrow(flat[_gather(begin[mine], size[mine])]))))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "body"])
+        release()
 
     return encoded.mapInArrow(run, "bucket int, body binary")
 
@@ -311,14 +395,15 @@ def encode(docs: DataFrame, v: Vocabulary | None = None) -> DataFrame:
     v = v or Vocabulary.load(MODEL)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     buckets = n_buckets(docs)
-    asked = exchange.request(docs, _ask(v, buckets), PIECE_CHUNK)
+    # Read twice, for the words and for the answers; packed, it is about a fifth of the texts.
+    asked = materialize(exchange.request(docs, _ask(v, buckets), PIECE_CHUNK), "segment-requests")
 
     def distinct(t: pa.Table) -> pa.Table:
         own = {w for body in t.column("body").to_pylist() for w in _words(body)}
         return pa.table([pa.array([w.decode() for w in own], pa.string())], ["word"])
 
     words = materialize(asked.groupBy("bucket").applyInArrow(distinct, "word string"), "segments")
-    encoded = materialize(_packed(encode_words(words.repartition("word"), v), buckets), "encoded-segments")
+    encoded = materialize(_packed(encode_words(words.repartition("word"), v), v, buckets), "encoded-segments")
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = [unpack(b) for b in right.column("body").to_pylist()]
@@ -340,20 +425,21 @@ def encode(docs: DataFrame, v: Vocabulary | None = None) -> DataFrame:
     def run(batches):
         for b in batches:
             for c in exchange.chunks(b, PIECE_CHUNK):
-                parts = of_chunk(c, v)
-                hashes = np.concatenate([s.hashes for _, s in parts]) if parts else np.zeros(0, np.uint64)
-                at = np.unique(hashes, return_inverse=True)[1]
+                parts = [(i, s.rows, s.at, s.hashes) for i, s in of_chunk(c, v)]
+                hashes = np.concatenate([p[3] for p in parts]) if parts else np.zeros(0, np.uint64)
+                parts = [(i, rows, ends, len(h)) for i, rows, ends, h in parts]
+                at = np.unique(hashes, return_inverse=True)[1].astype(np.int32)
                 got = [x for _, x in sorted(read(c.name).items())] if len(hashes) else []
                 size = np.concatenate([x[0].astype(np.int64) for x in got]) if got else np.zeros(0, np.int64)
                 ids = np.concatenate([x[1].astype(np.int32) for x in got]) if got else np.zeros(0, np.int32)
                 begin = np.cumsum(size) - size
                 done = 0
-                for first, s in parts:
-                    mine = at[done : done + len(s.hashes)]
-                    done += len(s.hashes)
+                for first, row_of, row_at, n in parts:
+                    mine = at[done : done + n]
+                    done += n
                     out = ids[_gather(begin[mine], size[mine])]
-                    rows = len(s.at) - 1
-                    count = np.bincount(s.rows, size[mine], rows).astype(np.int64)
+                    rows = len(row_at) - 1
+                    count = np.bincount(row_of, size[mine], rows).astype(np.int64)
                     ends = np.concatenate([[0], np.cumsum(count)])
                     raw_size = (v.raw_at[1:] - v.raw_at[:-1])[out]
                     raw = v.raw[_gather(v.raw_at[out], raw_size)]
@@ -361,12 +447,13 @@ def encode(docs: DataFrame, v: Vocabulary | None = None) -> DataFrame:
                     # The space that was put before a text is taken off again.
                     texts = [raw[i + 1 : j].tobytes().decode() for i, j in zip(raw_ends[:-1], raw_ends[1:], strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(c.ids[first : first + rows], pa.int64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out)), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+        release()
 
     return docs.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
-#: Text bytes of a chunk: larger ones repeat fewer segments.
-PIECE_CHUNK = 32 << 20
+#: Text bytes of a chunk: larger ones repeat fewer segments, and take about 20 times their size of memory.
+PIECE_CHUNK = 8 << 20
 
 
 def _gather(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -377,8 +464,8 @@ def _gather(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def digests(encoded: DataFrame) -> DataFrame:
-    """(doc_id, n_pieces, ids_sha256, decoded_sha256): ids in decimal, joined by spaces."""
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    """(doc_id, n_pieces, ids_hash, decoded_sha256): the 64-bit hash of the ids and the digest of the text decoded from them."""
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
