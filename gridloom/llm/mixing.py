@@ -77,7 +77,10 @@ def shares(sized: DataFrame) -> DataFrame:
     plan = plan.withColumns({"tier_weight": F.col("tier") * F.col("tier_size"), "tier_cap": MOST * F.col("tier_size")})
     plan = water_fill(plan, ["source"], F.col("source_target"), "tier_weight", "tier_cap", [F.col("tier")])
     copies = F.when(F.col("tier_size") > 0, F.least(F.col("target") / F.col("tier_size"), F.lit(MOST))).otherwise(0.0)
-    return plan.select("source", "tier", F.col("source_size").cast("long").alias("source_size"), F.col("source_target").alias("target"), F.floor(copies).alias("whole"), (copies - F.floor(copies)).alias("pi"), "tier_size")
+    plan = plan.select("source", "tier", F.col("source_size").cast("long").alias("source_size"), F.col("source_target").alias("target"), F.floor(copies).alias("whole"), (copies - F.floor(copies)).alias("pi"), "tier_size")
+    # The largest inclusion odds of a source scale its ranks, so that the ranks of its main tier spread evenly.
+    odds = F.when((F.col("pi") > 0) & (F.col("pi") < 1), F.col("pi") / (1 - F.col("pi")))
+    return plan.withColumn("scale", F.coalesce(F.max(odds).over(Window.partitionBy("source")), F.lit(1.0)))
 
 
 def rank_of(doc_id: str, size: Column, pi: Column) -> Column:
@@ -89,9 +92,10 @@ def rank_of(doc_id: str, size: Column, pi: Column) -> Column:
 def cuts(sized: DataFrame, plan: DataFrame) -> DataFrame:
     """(source, edge): the last (rank, doc_id, size) in the rank order of a source that is drawn; a source with nothing to draw or to leave has no row."""
     left = plan.groupBy("source").agg((F.first("target") - F.sum(F.col("whole") * F.col("tier_size"))).alias("open"))
-    d = with_plan(sized, plan, "source", F.col("size")).select("doc_id", "source", "size", rank_of("doc_id", F.col("size"), F.col("pi")).alias("rank")).where("rank is not null")
-    # rank / (1 + rank) maps the ranks to (0, 1) in their order; equal steps of it are the intervals.
-    d = d.withColumn("interval", F.floor(F.col("rank") / (1 + F.col("rank")) * INTERVALS).cast("int"))
+    d = with_plan(sized, plan, "source", F.col("size")).select("doc_id", "source", "size", rank_of("doc_id", F.col("size"), F.col("pi")).alias("rank"), "scale").where("rank is not null")
+    # x / (1 + x) maps ranks to (0, 1) in their order; equal steps of it are the intervals.
+    x = F.col("rank") * F.col("scale")
+    d = d.withColumn("interval", F.floor(x / (1 + x) * INTERVALS).cast("int")).drop("scale")
     sums = d.groupBy("source", "interval").agg(F.sum("size").alias("words"))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("interval").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # INTERVALS rows per source at most; one of them holds the cut.
@@ -116,7 +120,7 @@ def with_plan(docs: DataFrame, plan: DataFrame, source: str, size: Column) -> Da
 
 def copies_of(docs: DataFrame, plan: DataFrame, edges: DataFrame, doc_id: str, source: str, size: str) -> DataFrame:
     """``docs`` with source_size, target and copies: certain copies, and one more up to the cut of its source."""
-    d = with_plan(docs, plan, source, F.col(size)).drop("tier_size")
+    d = with_plan(docs, plan, source, F.col(size)).drop("tier_size", "scale")
     e = edges.toDF("_e_source", "_e_last", "_e_first")
     d = d.join(F.broadcast(e), F.col(source).eqNullSafe(F.col("_e_source")), "left")
     rank = rank_of(doc_id, F.col(size), F.col("pi"))
