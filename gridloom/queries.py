@@ -116,11 +116,12 @@ _fold("rank3_arg_max", "event_cube", "arg_max", [0, 2], rank=3, index="c0 * 20 +
 
 
 def _product(spark: SparkSession, folder: str) -> DataFrame:
-    df = asked(spark, folder, {"dataset": "emb", "selection": [{}, {"stop": 3}], "product": 1})
-    return df.withColumn("product", rounded(F.col("product")))
+    """Products of 64 values are tiny, so their logarithm and sign are compared."""
+    df = asked(spark, folder, {"dataset": "emb", "product": 1})
+    return df.select("c0", rounded(F.ln(F.abs("product"))).alias("product_ln"), (F.col("product") < 0).alias("negative"))
 
 
-_register("product_axis1", _product, f"WITH cells AS ({CELLS['emb']}) SELECT c0, round(product(v), 6) AS product FROM cells WHERE c1 < 3 GROUP BY c0")
+_register("product_axis1", _product, f"WITH cells AS ({CELLS['emb']}), p AS (SELECT c0, product(v) AS x FROM cells GROUP BY c0) SELECT c0, round(ln(abs(x)), 6) AS product_ln, x < 0 AS negative FROM p")
 
 # ---- histograms
 
