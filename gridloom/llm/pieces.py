@@ -453,7 +453,7 @@ def encode(docs: DataFrame, v: Vocabulary | None = None) -> DataFrame:
 
 
 #: Text bytes of a chunk: larger ones repeat fewer segments, and take about 20 times their size of memory.
-PIECE_CHUNK = 8 << 20
+PIECE_CHUNK = 4 << 20
 
 
 def _gather(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
