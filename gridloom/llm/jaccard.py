@@ -263,13 +263,17 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The row that stays is found by the least doc_id, so the documents only meet a list of ids to keep. Rows without a doc_id
     stay: they can't be told apart.
     """
-    groups = join(docs)
-    keep = groups.where("doc_id = class_id or doc_id is null").select("doc_id").distinct()
-    kept = docs.join(keep.select(F.col("doc_id").alias("_keep")), F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi")
-    twice = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
-    # Repeated doc_ids are few rows or none: only those are ranked, by their texts.
-    many = kept.join(twice.select(F.col("doc_id").alias("_twice")), F.col("doc_id").cast("long") == F.col("_twice"), "left_semi")
-    once = kept.join(twice.select(F.col("doc_id").alias("_twice")), F.col("doc_id").cast("long") == F.col("_twice"), "left_anti")
+    groups = materialize(join(docs).select("doc_id", "class_id"), "groups")
+    keep = groups.where("doc_id = class_id or doc_id is null").select(F.col("doc_id").alias("_keep")).distinct()
+    # The texts meet the list of ids once.
+    kept = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    twice = groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("_twice")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_twice")
+    twice = materialize(twice, "repeated-ids")
+    if twice.isEmpty():
+        return kept
+    # Only rows of repeated doc_ids are compared by their texts.
+    many = kept.join(twice, F.col("doc_id").cast("long") == F.col("_twice"), "left_semi")
+    once = kept.join(twice, F.col("doc_id").cast("long") == F.col("_twice"), "left_anti")
     return once.unionByName(many.dropDuplicates(["doc_id", "text"]))
 
 
