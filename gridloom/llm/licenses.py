@@ -1,10 +1,11 @@
 """License scans by conditional compression.
 
 Candidate blocks are the lines of a text that mention licensing, with their neighbours, or windows around each mention
-in very long lines. A block is compressed alone and with each license template as a raw zstandard dictionary; templates
-are ranked by how much they save. The winner is confirmed by its exact wording: the words of the template that the
-block lacks, and those that the block has in their place, must be few, and must hold none of the words and versions
-that tell the template from its rivals.
+in very long lines. The sentences of each license template are aligned with a block, so that prose around a notice is
+free. A place is a candidate if the words of the sentence that it lacks and those that it has in between are few, and
+none of the words and versions that tell the template from its rivals is lacking. The text of the place is compressed
+alone and with the template as a raw zstandard dictionary, which must save a good part of it. Of several templates the
+one with the least difference wins, then the one that saves most.
 
 The scan is a map over rows: nothing is shuffled, and memory is bounded by one batch and the fixed templates.
 
@@ -15,10 +16,10 @@ an empty result; further columns are ignored.
 
 from __future__ import annotations
 
-import difflib
 import functools
 import re
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +52,10 @@ LONG_LINE, WINDOW = 1_000, 400
 #: Least saving by the template's dictionary, and most words that differ, as shares.
 LEAST_SAVING, MOST_DIFFERENT, LEVEL = 0.25, 0.2, 6
 
+_WORD = re.compile(r"[a-z0-9][a-z0-9.\-]*")
+#: Line breaks with the marks of comments after them, other white space, and the ends of sentences.
+_BREAK, _STOP = re.compile(r"\s*\n[\s#*/;%!>-]*|\s+"), re.compile(r"(?<=[.!?])\s+(?=[A-Z\"'(])|\n\s*\n")
+
 _dictionaries: dict[str, zstandard.ZstdCompressor] = {}
 
 
@@ -64,7 +69,7 @@ def _compressors() -> dict[str, zstandard.ZstdCompressor]:
 
 
 def words(text: str) -> list[str]:
-    return [w.strip(".") for w in re.findall(r"[a-z0-9][a-z0-9.\-]*", text.lower())]
+    return [w.strip(".") for w in _WORD.findall(text.lower())]
 
 
 @functools.cache
@@ -108,7 +113,7 @@ def blocks(text: str) -> list[str]:
     return out
 
 
-@functools.lru_cache(65_536)
+@functools.lru_cache(4_096)
 def savings(block: str) -> list[tuple[float, str]]:
     """(share saved, template), best first."""
     raw = block.lower().encode()
@@ -117,36 +122,66 @@ def savings(block: str) -> list[tuple[float, str]]:
     return sorted(((1 - len(c[k].compress(raw)) / alone, k) for k in TEMPLATES), key=lambda x: (-x[0], x[1]))
 
 
-def differences(template: str, block: list[str]) -> tuple[float, list[str], list[str]]:
-    """(share of differing words, words that the block lacks, words in their place) for the best-fitting sentence."""
-    best = (2.0, [], [])
-    for s in sentences(template):
-        m = difflib.SequenceMatcher(None, block, s, autojunk=False)
-        lacks, instead, ops = [], [], m.get_opcodes()
-        for tag, i1, i2, j1, j2 in ops:
-            if tag in ("replace", "delete") and 0 < j1 < len(s):
-                instead += block[i1:i2]
-            if tag in ("replace", "insert"):
-                lacks += s[j1:j2]
-        share = (len(lacks) + len(instead)) / len(s)
-        if share < best[0]:
-            best = (share, lacks, instead)
-    return best
-
-
-@functools.lru_cache(65_536)
+def places(sentence: list[str], needed: frozenset[str], block: list[str]) -> list[tuple[int, int, int]]:
+    """(words that differ, first word, end) of the places in ``block`` where at most MOST_DIFFERENT of a sentence differs, best first.
+
+    Words that a place lacks and words that it has in between count one each; needed words can't be lacking, and what
+    stands before and after a place is free. A row of the table is a number for each end: cost above, begin below.
+    """
+    most, n = int(MOST_DIFFERENT * len(sentence)), len(block)
+    held = set(block)
+    if sum(w not in held for w in sentence) > most or not needed.intersection(sentence) <= held:
+        return []
+    code = {w: i for i, w in enumerate(dict.fromkeys(sentence))}
+    own = np.array([code.get(w, -1) for w in block], np.int64)
+    step = np.arange(n + 1, dtype=np.int64) << 32
+    row = n - np.arange(n + 1, dtype=np.int64)  # the latest begin wins among equals
+    for w in sentence:
+        new = row + ((1 if w not in needed else 1 << 20) << 32)
+        new[1:] = np.minimum(new[1:], np.where(own == code[w], row[:-1], np.int64(1 << 61)))
+        row = np.minimum.accumulate(new - step) + step
+    cost, begin = row >> 32, n - (row & 0xFFFFFFFF)
+    ends = np.flatnonzero(cost <= most)
+    out, taken = [], np.zeros(n, bool)
+    for e in ends[np.argsort(cost[ends], kind="stable")]:
+        if begin[e] < e and not taken[begin[e] : e].any():
+            taken[begin[e] : e] = True
+            out.append((int(cost[e]), int(begin[e]), int(e)))
+    return out
+
+
+def wordings(block: str) -> list[tuple[float, float, str, int, int, int]]:
+    """(share of differing words, minus share saved, license, words that differ, first word, end) of all confirmed wordings, best first.
+
+    Only the words of the place are compressed, so what surrounds a notice doesn't count.
+    """
+    low = block.lower()
+    at = [(m.start(), m.end()) for m in _WORD.finditer(low)]
+    own = [low[s:e].strip(".") for s, e in at]
+    out = []
+    for k in TEMPLATES:
+        for s in sentences(k):
+            for cost, i, j in places(s, telling(k), own):
+                saved = dict((x, y) for y, x in savings(_BREAK.sub(" ", low[at[i][0] : at[j - 1][1]])))[k]
+                if saved >= LEAST_SAVING:
+                    out.append((cost / len(s), -saved, k, cost, i, j))
+    return sorted(out)
+
+
+def mentioned(block: str) -> str:
+    """The sentence of ``block`` around its first mention, within WINDOW characters on either side."""
+    m = MENTION.search(block)
+    if not m:
+        return block[:LONG_LINE]
+    before, after = block[max(0, m.start() - WINDOW) : m.start()], block[m.start() : m.end() + WINDOW]
+    return _BREAK.sub(" ", _STOP.split(before)[-1] + _STOP.split(after)[0])
+
+
 def identify(block: str) -> tuple[str | None, float, int]:
     """(license, share saved, words that differ) of a block; no license if no template is confirmed."""
-    own, ranked = words(block), savings(block)
-    found = (None, ranked[0][0], 0)
-    least = 2.0
-    for saved, k in ranked[:4]:
-        if saved < LEAST_SAVING or saved < ranked[0][0] - 0.15:
-            break
-        share, lacks, instead = differences(k, own)
-        if share <= MOST_DIFFERENT and share < least and not telling(k) & set(lacks):
-            found, least = (k, saved, len(lacks) + len(instead)), share
-    return found
+    for _, saved, k, n, _, _ in wordings(block):
+        return k, -saved, n
+    return None, savings(mentioned(block))[0][0], 0
 
 
 RESULT = "doc_id long, n_blocks long, license string, licenses array<string>, saving double, n_different long"

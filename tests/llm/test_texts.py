@@ -423,6 +423,18 @@ def test_licenses(text, license):
     assert [x[0] for x in got if x[0]] == ([license] if license else [])
 
 
+
+PROSE = "many words of plain prose that says nothing in particular, and goes on for quite a while in the same line; " * 4
+
+
+@pytest.mark.parametrize(("notice", "license"), [("Released under the MIT License", "MIT"), ("Licensed under CC BY 4.0", "CC-BY-4.0"), ("This work is licensed under a Creative Commons Attribution 4.0 International License", "CC-BY-4.0"), ("All rights reserved", "Proprietary"), (licenses.TEMPLATES["ISC"], "ISC")])
+@pytest.mark.parametrize("times", [1, 5])
+def test_licenses_amid_prose(notice, license, times):
+    text = PROSE * times + notice + ". " + PROSE * times
+    assert [x[0] for b in licenses.blocks(text) if (x := licenses.identify(b))[0]] == [license]
+    assert not any(licenses.identify(b)[0] for b in licenses.blocks(PROSE * times + "this is no license. " + PROSE * times))
+
+
 def test_every_template_is_itself():
     for name, text in licenses.TEMPLATES.items():
         assert licenses.savings(text)[0][1] == name and licenses.identify(text)[0] == name or len(licenses.sentences(name)) > 1
