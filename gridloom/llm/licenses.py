@@ -1,8 +1,8 @@
 """License scans by conditional compression.
 
-Candidate blocks are the lines of a text that mention licensing, with their neighbours, or windows around each mention
-in very long lines. The sentences of each license template are aligned with a block, so that prose around a notice is
-free. A place is a candidate if the words of the sentence that it lacks and those that it has in between are few, and
+Candidate blocks are the words of a text around each mention of licensing, as many on either side as the longest template
+sentence can span, over the ends of lines and paragraphs. The sentences of each license template are aligned with a block,
+so that prose around a notice is free. A place is a candidate if the words of the sentence that it lacks and those that it has in between are few, and
 none of the words and versions that tell the template from its rivals is lacking. The text of the place is compressed
 alone and with the template as a raw zstandard dictionary, which must save a good part of it. Of several templates the
 one with the least difference wins, then the one that saves most.
@@ -47,12 +47,12 @@ TEMPLATES = {
 #: Mentions that make a line a candidate.
 MENTION = re.compile(r"licen[sc]|copyright|warrant|permission is hereby|redistribut|rights reserved|public domain|spdx|\bGPL\b|\bMPL\b|creative commons", re.IGNORECASE)
 _HINTS = ("icen", "ICEN", "opyright", "OPYRIGHT", "arrant", "ARRANT", "ermission", "edistribut", "ights reserved", "IGHTS RESERVED", "ublic domain", "spdx", "SPDX", "GPL", "MPL", "reative", "EDISTRIBUT", "ERMISSION")
-#: A line longer than this is cut into windows of so many characters on either side of a mention.
-LONG_LINE, WINDOW = 1_000, 400
+#: Most characters on either side of a mention in a sentence that is confirmed by no template.
+WINDOW = 400
 #: Least saving by the template's dictionary, and most words that differ, as shares.
 LEAST_SAVING, MOST_DIFFERENT, LEVEL = 0.25, 0.2, 6
 
-_WORD = re.compile(r"[a-z0-9][a-z0-9.\-]*")
+_WORD, _ANY_WORD = re.compile(r"[a-z0-9][a-z0-9.\-]*"), re.compile(r"[A-Za-z0-9][A-Za-z0-9.\-]*")
 #: Line breaks with the marks of comments after them, other white space, and the ends of sentences.
 _BREAK, _STOP = re.compile(r"\s*\n[\s#*/;%!>-]*|\s+"), re.compile(r"(?<=[.!?])\s+(?=[A-Z\"'(])|\n\s*\n")
 
@@ -87,30 +87,26 @@ def telling(template: str) -> frozenset[str]:
     return frozenset(w for w in own if any(w not in r for r in close) and (any(c.isdigit() for c in w) or "-" in w or len(w) > 3))
 
 
+@functools.cache
+def reach() -> int:
+    """Words on either side of a mention that a confirmed wording of any template can span."""
+    longest = max(len(s) for k in TEMPLATES for s in sentences(k))
+    return longest + int(MOST_DIFFERENT * longest)
+
+
 def blocks(text: str) -> list[str]:
-    """Candidate blocks of a whole text."""
+    """Candidate blocks of a whole text: ``reach`` words on either side of each mention, whatever the lines; blocks that meet are one."""
     if not any(h in text for h in _HINTS):
         return []
-    out, lines = [], text.split("\n")
-    at = 0
-    while at < len(lines):
-        line = lines[at]
-        if len(line) > LONG_LINE:
-            end = -1
-            for m in MENTION.finditer(line):
-                s, e = max(0, m.start() - WINDOW), min(len(line), m.end() + WINDOW)
-                if s < end:
-                    out[-1] += line[end:e]
-                else:
-                    out.append(line[s:e])
-                end = e
-        elif MENTION.search(line):
-            first = at
-            while at + 1 < len(lines) and len(lines[at + 1]) <= LONG_LINE and MENTION.search(lines[at + 1]):
-                at += 1
-            out.append("\n".join(lines[first : at + 1]))
-        at += 1
-    return out
+    mentions = np.array([(m.start(), m.end()) for m in MENTION.finditer(text)], np.int64).reshape(-1, 2)
+    if not len(mentions):
+        return []
+    at = np.fromiter((x for m in _ANY_WORD.finditer(text) for x in m.span()), np.int64).reshape(-1, 2)
+    # The first word that ends after a mention begins, and the first that begins after it ends.
+    first = np.maximum(np.searchsorted(at[:, 1], mentions[:, 0], "right") - reach(), 0)
+    last = np.minimum(np.searchsorted(at[:, 0], mentions[:, 1], "left") + reach(), len(at))
+    new = np.flatnonzero(np.append(True, first[1:] > last[:-1]))
+    return [text[at[i, 0] : at[j - 1, 1]] for i, j in zip(first[new], np.append(last[new[1:] - 1], last[-1]), strict=True)]
 
 
 @functools.lru_cache(4_096)
@@ -172,7 +168,7 @@ def mentioned(block: str) -> str:
     """The sentence of ``block`` around its first mention, within WINDOW characters on either side."""
     m = MENTION.search(block)
     if not m:
-        return block[:LONG_LINE]
+        return block[: 2 * WINDOW]
     before, after = block[max(0, m.start() - WINDOW) : m.start()], block[m.start() : m.end() + WINDOW]
     return _BREAK.sub(" ", _STOP.split(before)[-1] + _STOP.split(after)[0])
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import tarfile
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -435,6 +436,24 @@ def test_licenses_amid_prose(notice, license, times):
     assert not any(licenses.identify(b)[0] for b in licenses.blocks(PROSE * times + "this is no license. " + PROSE * times))
 
 
+
+@pytest.mark.parametrize("name", licenses.TEMPLATES)
+@pytest.mark.parametrize("mark", ["", " * ", "# "])
+def test_wrapped_licenses(name, mark):
+    for s in re.split(r"(?<=[a-z\")0-9])\.\s+(?=[A-Z])", licenses.TEMPLATES[name]):
+        if not licenses.MENTION.search(s):
+            continue
+        text = "\n".join(mark + x for x in ["Prose before it.", *textwrap.wrap(s, 72), "Prose after it."])
+        assert [x[0] for b in licenses.blocks(text) if (x := licenses.identify(b))[0]] == [name], s
+    text = "\n".join(mark + x for x in textwrap.wrap(licenses.TEMPLATES[name], 72))
+    assert name in [licenses.identify(b)[0] for b in licenses.blocks(text)]
+
+
+def test_license_over_paragraphs():
+    text = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n\n1. Redistributions of source code must retain the above copyright\n   notice, this list of conditions and the following disclaimer.\n"
+    assert [licenses.identify(b)[0] for b in licenses.blocks(text)] == ["BSD-2-Clause"]
+
+
 def test_every_template_is_itself():
     for name, text in licenses.TEMPLATES.items():
         assert licenses.savings(text)[0][1] == name and licenses.identify(text)[0] == name or len(licenses.sentences(name)) > 1
