@@ -46,7 +46,8 @@ TEMPLATES = {
 }
 #: Mentions that make a line a candidate.
 MENTION = re.compile(r"licen[sc]|copyright|warrant|permission is hereby|redistribut|rights reserved|public domain|spdx|\bGPL\b|\bMPL\b|creative commons", re.IGNORECASE)
-_HINTS = ("icen", "ICEN", "opyright", "OPYRIGHT", "arrant", "ARRANT", "ermission", "edistribut", "ights reserved", "IGHTS RESERVED", "ublic domain", "spdx", "SPDX", "GPL", "MPL", "reative", "EDISTRIBUT", "ERMISSION")
+#: What each alternative of MENTION holds, once ``_folded``; a text without any has no mention.
+_HINTS = ("licen", "copyright", "warrant", "permission is hereby", "redistribut", "rights reserved", "public domain", "spdx", "gpl", "mpl", "creative commons")
 #: Most characters on either side of a mention in a sentence that is confirmed by no template.
 WINDOW = 400
 #: Least saving by the template's dictionary, and most words that differ, as shares.
@@ -94,9 +95,16 @@ def reach() -> int:
     return longest + int(MOST_DIFFERENT * longest)
 
 
+def _folded(text: str) -> str:
+    """``text`` in lower case, with the letters beyond ASCII that IGNORECASE takes for i and s as these."""
+    low = text.lower()
+    return low if low.isascii() else low.replace("i\u0307", "i").replace("\u0131", "i").replace("\u017f", "s")
+
+
 def blocks(text: str) -> list[str]:
     """Candidate blocks of a whole text: ``reach`` words on either side of each mention, whatever the lines; blocks that meet are one."""
-    if not any(h in text for h in _HINTS):
+    low = _folded(text)
+    if not any(h in low for h in _HINTS):
         return []
     mentions = np.array([(m.start(), m.end()) for m in MENTION.finditer(text)], np.int64).reshape(-1, 2)
     if not len(mentions):

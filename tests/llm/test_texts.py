@@ -454,6 +454,22 @@ def test_license_over_paragraphs():
     assert [licenses.identify(b)[0] for b in licenses.blocks(text)] == ["BSD-2-Clause"]
 
 
+
+@pytest.mark.parametrize("mention", ["All Rights Reserved.", "Public Domain", "gpl", "Gpl", "mpl", "sPdX", "LiCeNsE", "CopyRight", "WARranty", "PerMission Is Hereby", "RedisTribution", "Creative Commons", "cREATIVE cOMMONS"])
+def test_mentions_in_any_case(mention):
+    assert licenses.blocks(f"one {mention} two") == [f"one {mention} two"]
+    if mention.startswith("All"):
+        assert licenses.identify(mention)[0] == "Proprietary"
+
+
+@given(st.text(st.sampled_from("iIsSkK\u0130\u0131\u017f\u212a"), max_size=4), st.sampled_from(["licens", "spdx", "public domain", "gpl", "rights reserved", "permission is hereby"]), st.lists(st.booleans(), min_size=20, max_size=20))
+def test_hints_miss_no_mention(noise, mention, upper):
+    like = {"i": "\u0131", "s": "\u017f", "I": "\u0130", "k": "\u212a"}
+    for text in ("".join(c.upper() if u else c for c, u in zip(mention, upper, strict=False)), "".join(like.get(c, c) if u else c for c, u in zip(mention, upper, strict=False))):
+        text = f"{noise} {text} {noise}"
+        assert bool(licenses.blocks(text)) == bool(licenses.MENTION.search(text))
+
+
 def test_every_template_is_itself():
     for name, text in licenses.TEMPLATES.items():
         assert licenses.savings(text)[0][1] == name and licenses.identify(text)[0] == name or len(licenses.sentences(name)) > 1
