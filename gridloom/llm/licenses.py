@@ -4,8 +4,8 @@ Candidate blocks are the words of a text around each mention of licensing, as ma
 sentence can span, over the ends of lines and paragraphs. The sentences of each license template are aligned with a block,
 so that prose around a notice is free. A place is a candidate if the words of the sentence that it lacks and those that it has in between are few, and
 none of the words and versions that tell the template from its rivals is lacking. The text of the place is compressed
-alone and with the template as a raw zstandard dictionary, which must save a good part of it. Of several templates the
-one with the least difference wins, then the one that saves most.
+alone and with the template as a raw zstandard dictionary, which must save a good part of it. Of several templates at one
+place the one with the least difference wins, then the one that saves most; other places of the block count by themselves.
 
 The scan is a map over rows: nothing is shuffled, and memory is bounded by one batch and the fixed templates.
 
@@ -181,11 +181,21 @@ def mentioned(block: str) -> str:
     return _BREAK.sub(" ", _STOP.split(before)[-1] + _STOP.split(after)[0])
 
 
+def notices(block: str) -> list[tuple[str, float, int]]:
+    """(license, share saved, words that differ) of every license that a block has, the best of each; of several at one place the best stays."""
+    out, found = {}, wordings(block)
+    owner = np.full(max((x[-1] for x in found), default=0), "", "U32")
+    for _, saved, k, n, i, j in found:
+        if np.isin(owner[i:j], ("", k)).all():
+            owner[i:j] = k
+            out.setdefault(k, (k, -saved, n))
+    return list(out.values())
+
+
 def identify(block: str) -> tuple[str | None, float, int]:
-    """(license, share saved, words that differ) of a block; no license if no template is confirmed."""
-    for _, saved, k, n, _, _ in wordings(block):
-        return k, -saved, n
-    return None, savings(mentioned(block))[0][0], 0
+    """The first of a block's ``notices``; no license if no template is confirmed."""
+    got = notices(block)
+    return got[0] if got else (None, savings(mentioned(block))[0][0], 0)
 
 
 RESULT = "doc_id long, n_blocks long, license string, licenses array<string>, saving double, n_different long"
@@ -199,7 +209,7 @@ def scan(docs: DataFrame) -> DataFrame:
             rows = []
             for t in b.column(1):
                 cut = blocks(t.as_py() or "")
-                got = [identify(x) for x in cut]
+                got = [y for x in cut for y in notices(x) or [identify(x)]]
                 sure = sorted((x for x in got if x[0]), key=lambda x: (-x[1], x[0]))
                 top = sure[0] if sure else (None, max((x[1] for x in got), default=None), None)
                 rows.append((len(cut), top[0], sorted({x[0] for x in sure}), None if top[1] is None else round(top[1], 6), top[2]))

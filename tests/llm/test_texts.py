@@ -1,6 +1,7 @@
 """Repeated strings, near duplicates, language model, pieces, media, toxicity, secrets and licenses."""
 
 import hashlib
+import itertools
 import math
 import re
 import tarfile
@@ -475,6 +476,16 @@ def test_every_template_is_itself():
         assert licenses.savings(text)[0][1] == name and licenses.identify(text)[0] == name or len(licenses.sentences(name)) > 1
 
 
+
+@pytest.mark.parametrize("between", ["\n", " ", " or ", " prose " * 30])
+def test_several_licenses(spark, between):
+    short = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under CC BY 4.0.": "CC-BY-4.0", "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0", "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0", "All rights reserved.": "Proprietary"}
+    rows = [(i, between.join(x), sorted({short[y] for y in x})) for i, x in enumerate([*itertools.permutations(short, 2), tuple(short), tuple(short) * 2])]
+    rows.append((len(rows), between.join(licenses.TEMPLATES.values()), sorted(licenses.TEMPLATES)))
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert got == {i: x for i, _, x in rows}
+
+
 def test_license_rows(spark, docs):
     lines = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "All rights reserved.": "Proprietary"}
     got = {r["doc_id"]: r["licenses"] for r in licenses.scan(docs).collect()}
