@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gridloom.llm.common import SHINGLE_WORDS, SIMILARITY, buffers, materialize, mix, ngram_hashes, signed, slices, span_hashes, table, word_spans
+from gridloom.llm.common import SHINGLE_WORDS, SIMILARITY, WORD, buffers, materialize, mix, ngram_hashes, signed, slices, span_hashes, table, word_spans
 
 RECALL, MOST_HASHES = 0.9999, 128
 #: Classes in a block of a cluster: two blocks' shingle sets are in memory at once.
@@ -226,11 +227,15 @@ def verify(members: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE_
     return members.mapInArrow(run, "node binary, other binary, links long")
 
 
-def join(docs: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE_WORDS) -> DataFrame:
-    """One row per document: doc_id, class_id (least doc_id of its group of linked texts), copy_id (least doc_id with its very set), n_copies, n_links."""
+#: What stands for a null doc_id: after all numbers.
+LAST = (1 << 63) - 1
+
+
+def known_classes(docs: DataFrame, similarity: float, n: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures of the texts, and the classes: node, first (least doc_id), root of its group, least (doc_id of the group), weight, links."""
     bands, rows = choose_bands(similarity)
     sig = materialize(signatures(docs, bands, rows, n), "shingles")
-    last = F.lit((1 << 63) - 1)
+    last = F.lit(LAST)
     # A class is known by the digest of its set; its text is fetched from its first document.
     full = sig.where("size > 0").withColumn("doc_id", F.coalesce("doc_id", last))
     classes = materialize(full.groupBy(F.col("digest").alias("node")).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("weight"), F.first("bands").alias("bands")), "copies")
@@ -250,31 +255,65 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE_WORDS
     links = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")), "verified-links")
     known = classes.join(groups, "node", "left").join(links, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"), "weight", F.coalesce("links", F.lit(0)).alias("links"))
-    known = known.join(known.groupBy("root").agg(F.min("first").alias("least")), "root")
+    return sig, known.join(known.groupBy("root").agg(F.min("first").alias("least")), "root")
+
+
+def join(docs: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE_WORDS) -> DataFrame:
+    """One row per document: doc_id, class_id (least doc_id of its group of linked texts), copy_id (least doc_id with its very set), n_copies, n_links."""
+    sig, known = known_classes(docs, similarity, n)
     out = sig.select("doc_id", F.when(F.col("size") > 0, F.col("digest")).alias("node")).join(known, "node", "left")
     alone = F.col("first").isNull()
-    named = lambda c: F.when(alone | (F.col(c) == last), F.col("doc_id")).otherwise(F.col(c))
+    named = lambda c: F.when(alone | (F.col(c) == F.lit(LAST)), F.col("doc_id")).otherwise(F.col(c))
     return out.select("doc_id", named("least").alias("class_id"), named("first").alias("copy_id"), F.when(alone, 1).otherwise(F.col("weight")).cast("long").alias("n_copies"), F.when(alone, 0).otherwise(F.col("weight") - 1 + F.col("links")).cast("long").alias("n_links"))
 
 
+def with_node(docs: DataFrame, text: str, n: int = SHINGLE_WORDS) -> DataFrame:
+    """``docs`` with the digest of each text's set as ``_node``."""
+
+    def run(batches):
+        for b in batches:
+            nodes = []
+            for _, h, at in shingle_sets(b.column(b.schema.get_field_index(text)), n):
+                nodes += [digest_of(h[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes, pa.binary())], [*b.schema.names, "_node"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_node", T.BinaryType())]))
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one that bears the group's id, and its first row where doc_ids repeat.
+    """One document of each group: the one that bears the group's id, and one of its rows where several do.
 
-    The row that stays is found by the least doc_id, so the documents only meet a list of ids to keep. Rows without a doc_id
-    stay: they can't be told apart.
+    A group is led by its class with the least doc_id. Where all doc_ids are unique numbers, the documents only meet a list
+    of ids to keep. Rows of null or repeated ids are found by the digests of their sets as well; copies among them are
+    dropped by partial aggregates before they meet the leaders, so no task holds the copies of one text. Texts without
+    shingles stay, once for each repeated id and text.
     """
-    groups = materialize(join(docs).select("doc_id", "class_id"), "groups")
-    keep = groups.where("doc_id = class_id or doc_id is null").select(F.col("doc_id").alias("_keep")).distinct()
+    names = docs.columns
+    flat = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    doc, text = (f"c{names.index(x)}" for x in ("doc_id", "text"))
+    key = F.coalesce(F.col(doc).cast("long"), F.lit(LAST))
+    sig, known = known_classes(docs, SIMILARITY, SHINGLE_WORDS)
+    leaders = materialize(known.where("first = least").groupBy("root").agg(F.min("node").alias("_leader"), F.min("first").alias("_first")).select("_first", "_leader"), "leaders")
+    keep = leaders.select(F.col("_first").alias("_keep")).unionByName(sig.where("size = 0").select(F.col("doc_id").alias("_keep"))).where(F.col("_keep") < LAST).distinct()
     # The texts meet the list of ids once.
-    kept = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi")
-    twice = groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("_twice")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_twice")
-    twice = materialize(twice, "repeated-ids")
-    if twice.isEmpty():
-        return kept
-    # Only rows of repeated doc_ids are compared by their texts.
-    many = kept.join(twice, F.col("doc_id").cast("long") == F.col("_twice"), "left_semi")
-    once = kept.join(twice, F.col("doc_id").cast("long") == F.col("_twice"), "left_anti")
-    return once.unionByName(many.dropDuplicates(["doc_id", "text"]))
+    kept = flat.where(key < LAST).join(keep, key == F.col("_keep"), "left_semi")
+    twice = materialize(sig.where(F.col("doc_id") < LAST).groupBy(F.col("doc_id").alias("_twice")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_twice"), "repeated-ids")
+    parts, loose = [kept], []
+    if not twice.isEmpty():
+        parts = [kept.join(twice, key == F.col("_twice"), "left_anti")]
+        loose.append(kept.join(twice, key == F.col("_twice"), "left_semi"))
+    if not sig.where(F.coalesce("doc_id", F.lit(LAST)) == LAST).isEmpty():
+        loose.append(flat.where(key == LAST))
+    solid = F.coalesce(F.col(text).rlike(WORD), F.lit(False))
+    for rows in loose:
+        one = with_node(rows.where(solid), text).withColumn("_key", key).dropDuplicates(["_key", "_node"])
+        parts.append(one.join(leaders, (F.col("_key") == F.col("_first")) & (F.col("_node") == F.col("_leader")), "left_semi").select(*flat.columns))
+        blank = rows.where(~solid)
+        parts += [blank.where(key == LAST), blank.where(key < LAST).dropDuplicates([doc, text])]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out.toDF(*names)
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,6 +146,26 @@ def test_jaccard_stage(spark):
     assert jaccard.stage(spark, empty_frame(spark), "").count() == 0 and jaccard.join(empty_frame(spark)).count() == 0
 
 
+@pytest.mark.parametrize("ids", ["third null", "all null", "repeated", "one", "unique"])
+def test_jaccard_stage_keeps_one_row_of_each_group(spark, ids):
+    base = [" ".join(f"g{g}w{i}" for i in range(60)) for g in range(8)]
+    texts = [t for t in base for _ in range(4)] + [t.replace("w30", "x") for t in base[:4]] + ["lone text one", "lone text two", "", None, " "]
+    name = {"third null": lambda i: None if i % 3 == 0 else i, "all null": lambda i: None, "repeated": lambda i: i % 7, "one": lambda i: 1, "unique": lambda i: 100 - i}[ids]
+    rows = [(name(i), t) for i, t in enumerate(texts)]
+    out = [(r["doc_id"], r["text"]) for r in jaccard.stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()]
+    root = links(texts)[1]
+    groups = defaultdict(list)
+    for i, t in enumerate(texts):
+        if words(t):
+            groups[root[i]].append(rows[i])
+    first = lambda r: 1 << 63 if r[0] is None else r[0]
+    assert len([t for _, t in out if words(t)]) == len(groups) == 10
+    for g in groups.values():
+        left = [r for r in out if r in g]
+        assert len(left) == 1 and first(left[0]) == min(map(first, g))
+    assert sorted(repr(t) for _, t in out if not words(t)) == ["' '", "''", "None"]
+
+
 # ---------------------------------------------------------------- language model
 
 
