@@ -148,7 +148,10 @@ def _answer_stretches(bucket: int, bodies: list[bytes]):
     first[np.unique(at, return_index=True)[1]] = True
     code[first & (code == REPEATED) & beside_open[at]] = SPECIMEN
     ends = np.cumsum([len(p[0]) for p in parts])
-    return [pack(x) for x in np.split(code, ends[:-1])], np.array([(code == UNDECIDED).sum(), len(code)])
+    out = [pack(x) for x in np.split(code, ends[:-1])]
+    # Identical chunks share the file of their answers, so equal bodies get the answer of the first.
+    same: dict[bytes, int] = {}
+    return [out[same.setdefault(x, i)] for i, x in enumerate(bodies)], np.array([(code == UNDECIDED).sum(), len(code)])
 
 
 def codes(read, c: Chunk, s: Stretches) -> np.ndarray:

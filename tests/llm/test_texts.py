@@ -70,6 +70,17 @@ def test_suffixes_at_small_chunks(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == repeats(texts)
 
 
+def test_identical_chunks_send_the_same_specimens():
+    """Identical chunks share their answers' file: whichever body is written last, the specimen of a stretch that an undecided one overlaps is sent."""
+    x, a, b = (np.array(v, np.uint64) for v in ([7, 9], [1, 2], [3]))
+    twin = exchange.pack(exchange.deltas(x), a, np.array([1, 1], np.uint8))
+    other = exchange.pack(exchange.deltas(x[:1]), b, np.array([1], np.uint8))
+    for bodies in ([twin, twin, other], [other, twin, twin], [twin, other, twin]):
+        got = [exchange.unpack(y)[0].tolist() for y in suffixes._answer_stretches(0, bodies)[0]]
+        assert {tuple(g) for g, y in zip(got, bodies, strict=True) if y == twin} == {(suffixes.SPECIMEN, suffixes.REPEATED)}
+        assert [g for g, y in zip(got, bodies, strict=True) if y == other] == [[suffixes.UNDECIDED]]
+
+
 def test_suffixes_of_nothing(spark):
     assert suffixes.dedup(empty_frame(spark)).count() == 0
 
