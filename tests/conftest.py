@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
-sys.path.insert(0, str(ROOT))
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 
 
@@ -30,23 +30,9 @@ def spark(tmp_path_factory):
     s.stop()
 
 
-def tensor(spark, values, name="a", dtype="f64", chunk=(), **meta):
-    """A tensor of a nested list."""
-    import numpy as np
-
-    from gridloom.model import DTYPES, TensorFrame, TensorMeta
-
-    x = np.array(values, dtype=object)
-    rows = [(*map(int, at), None if v is None else v) for at, v in np.ndenumerate(x)]
-    m = TensorMeta(name, dtype, x.shape, chunk, **meta)
-    import decimal
-
-    cast = (lambda v: decimal.Decimal(int(v))) if dtype == "u64" else (float if dtype[0] == "f" else int)
-    schema = ", ".join([*(f"{c} bigint" for c in m.coord_names), f"v {DTYPES[dtype].spark}"])
-    return TensorFrame(m, spark.createDataFrame([(*r[:-1], cast(r[-1])) for r in rows], schema))
-
-
 @pytest.fixture()
 def a(spark):
     """The core tensor: 2 x 3, values 1 to 6, in tiles of 2 x 2."""
+    from tensors import tensor
+
     return tensor(spark, [[1, 2, 3], [4, 5, 6]], chunk=(2, 2))

@@ -3,7 +3,7 @@ import os
 
 import numpy as np
 import pytest
-from conftest import tensor
+from tensors import tensor
 
 from gridloom import __main__ as cli
 from gridloom import engine

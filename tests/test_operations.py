@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import tensor
+from tensors import tensor
 
 from gridloom import engine
 from gridloom.model import TensorFrame, TensorMeta, ValidationError
