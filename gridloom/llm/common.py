@@ -7,6 +7,7 @@ are found and hashed without a Python loop over rows or characters.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -52,6 +53,35 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows from which on a key is hot, at least, and the most hot keys there can be.
+HOT_ROWS, HOT_KEYS = 1_000, 10_000
+
+
+def lookup(rows: DataFrame, facts: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``facts``, which has one row for each ``key`` and in ``weight`` how many rows have it.
+
+    Keys of a HOT_KEYS-th of all rows or more (and of HOT_ROWS) are joined by broadcast where their rows are, so that no
+    task gets all rows of one key; there can't be more than HOT_KEYS of them. ``facts`` should be a written table.
+    """
+    most = facts.agg(F.max(weight).alias("top"), F.sum(weight).alias("all")).first()
+    least = max(HOT_ROWS, -(-int(most["all"] or 0) // HOT_KEYS))
+    if int(most["top"] or 0) < least:
+        return rows.join(facts, key, how)
+    hot = facts.where(F.col(weight) >= least)
+    mark = free_name(rows, "_hot")
+    marked = rows.join(F.broadcast(hot.select(key, F.lit(True).alias(mark))), key, "left")
+    some = marked.where(F.col(mark).isNotNull()).drop(mark).join(F.broadcast(hot), key)
+    return some.unionByName(marked.where(F.col(mark).isNull()).drop(mark).join(facts.where(F.col(weight) < least), key, how))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete every table that ``materialize`` wrote in this shared folder; results that still read them end."""
     jvm = spark.sparkContext._jvm
@@ -153,12 +183,29 @@ def word_spans(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, stops, np.searchsorted(offsets, starts, "right") - 1
 
 
+#: Spans of more bytes than this are hashed one by one; and what of a block of eight bytes belongs to a span's last bytes.
+LONG_SPAN = 512
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans."""
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * up[: len(data)], out=total[1:])
-    return mix((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64))
+    """64-bit hashes of byte spans: blocks of eight bytes go through a chain of finalisers, long spans through BLAKE2b.
+
+    No algebra of the bytes survives the finalisers, so texts made to collide under sums of powers don't collide here.
+    """
+    size = stops - starts
+    h = size.astype(np.uint64) * _MIX[2]
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    blocks = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+    todo, k = np.flatnonzero((size > 0) & (size <= LONG_SPAN)), 0
+    while len(todo):
+        left = size[todo] - k
+        h[todo] = mix(h[todo] ^ (blocks[starts[todo] + k] & _KEEP[np.minimum(left, 8)])) + _MIX[3]
+        todo, k = todo[left > 8], k + 8
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : stops[i]].tobytes(), digest_size=8).digest(), "little")
+    return mix(h)
 
 
 def ngram_hashes(words: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -101,10 +101,21 @@ def n_buckets(docs: DataFrame) -> int:
     return max(4, -(-size // BUCKET_BYTES))
 
 
-def cut(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Places in sorted ``keys`` where the buckets begin and end; equal parts of the 64-bit key space."""
-    edges = (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each 64-bit key: equal parts of the key space, in order (fewer than 2**32 buckets)."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def runs(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(bucket, begin, end) of each bucket that sorted ``bucket`` holds; those without a key cost nothing."""
+    if len(bucket):
+        begin = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        yield from zip(bucket[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(bucket)], strict=True)
+
+
+def split(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
+    """``runs`` of sorted keys."""
+    return runs(bucket_of(keys, buckets))
 
 
 def request(docs: DataFrame, ask: Callable[[Chunk], Iterator[tuple[int, bytes]]], size: int = CHUNK_BYTES) -> DataFrame:
