@@ -25,7 +25,7 @@ s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS source_size FROM d GROUP BY so
 p AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM s),
 w AS (SELECT *, CASE place % 3 WHEN 0 THEN {_FIRST} WHEN 1 THEN {_SECOND} ELSE {_THIRD} END AS weight, {mixing.MOST}::DOUBLE * source_size AS cap FROM p),
 {_water_fill("sources", "w", f"{mixing.SHARE}::DOUBLE * sum(source_size) OVER ()", "weight", "cap", "place")},
-sized AS (SELECT *, CASE WHEN size < {mixing.MINOR_WORDS} THEN {mixing.MINOR}::DOUBLE ELSE 1.0::DOUBLE END AS tier FROM d),
+sized AS (SELECT *, CASE {" ".join(f"WHEN size < {n} THEN {x}::DOUBLE" for n, x in mixing.TIERS)} ELSE 1.0::DOUBLE END AS tier, row_number() OVER (PARTITION BY source, doc_id, size) - 1 AS num FROM d),
 t AS (SELECT z.source, z.tier, CAST(sum(z.size) AS DOUBLE) AS tier_size, any_value(x.source_size) AS source_size, any_value(x.target) AS source_target
       FROM sized z JOIN sources x ON z.source IS NOT DISTINCT FROM x.source GROUP BY z.source, z.tier),
 tw AS (SELECT *, tier * tier_size AS tier_weight, {mixing.MOST}::DOUBLE * tier_size AS tier_cap FROM t),
@@ -33,11 +33,11 @@ tw AS (SELECT *, tier * tier_size AS tier_weight, {mixing.MOST}::DOUBLE * tier_s
 c AS (SELECT *, CASE WHEN tier_size > 0 THEN least(target / tier_size, {mixing.MOST}::DOUBLE) ELSE 0.0 END AS copies FROM tiers),
 plan AS (SELECT source, tier, tier_size, source_size, source_target, floor(copies) AS whole, copies - floor(copies) AS pi FROM c),
 opened AS (SELECT source, any_value(source_target) - sum(whole * tier_size) AS opened FROM plan GROUP BY source),
-r AS (SELECT z.doc_id, z.source, z.size, x.source_size, x.source_target, x.whole, x.pi, o.opened,
-             (CAST('0x' || substr(md5(concat_ws('|', '{mixing.SEED}', coalesce(CAST(z.doc_id AS VARCHAR), '-'), CAST(z.size AS VARCHAR))), 1, 12) AS BIGINT)::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u
+r AS (SELECT z.doc_id, z.source, z.size, z.num, x.source_size, x.source_target, x.whole, x.pi, o.opened,
+             (CAST('0x' || substr(md5(concat_ws('|', '{mixing.SEED}', coalesce(CAST(z.doc_id AS VARCHAR), '-'), CAST(z.size AS VARCHAR), CAST(z.num AS VARCHAR))), 1, 12) AS BIGINT)::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u
       FROM sized z JOIN plan x ON z.source IS NOT DISTINCT FROM x.source AND z.tier = x.tier JOIN opened o ON z.source IS NOT DISTINCT FROM o.source),
 k AS (SELECT *, CASE WHEN pi > 0 AND size > 0 THEN (u / (1 - u)) / (pi / (1 - pi)) END AS rank FROM r),
-n AS (SELECT *, sum(CASE WHEN rank IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id, size ROWS UNBOUNDED PRECEDING) AS done FROM k)
+n AS (SELECT *, sum(CASE WHEN rank IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id, size, num ROWS UNBOUNDED PRECEDING) AS done FROM k)
 SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, source_target AS target,
        CAST(CASE WHEN size = 0 THEN 0 ELSE (whole + CASE WHEN rank IS NOT NULL AND done - size / 2.0::DOUBLE <= opened THEN 1 ELSE 0 END) * size END AS BIGINT) AS taken FROM n
 """
