@@ -6,17 +6,19 @@ and size of bands are chosen for a target recall at that similarity. The plan:
 1. A map over texts makes, for each, a digest of its set and one hash a band.
 2. Texts with equal sets form a class (of copies); from here on a class is one row, whatever its size.
 3. Classes are shuffled by band hash, which gives candidate links as stars: each class points to the least class of its
-   bucket. Connected components of the stars are candidate clusters, so a pair that meets in many bands meets once.
-4. Clusters are dealt out as pairs of blocks of at most BLOCK classes, which bounds a task's memory for any size of
-   cluster. Each pair of blocks compares full shingle sets as sparse matrix products and yields a row for each class with
-   its count of links, and a spanning forest of the verified links: no row for a pair.
+   bucket. Connected components of the stars are candidate clusters; they only deal out the work.
+4. Clusters are dealt out as pairs of blocks of about BLOCK classes, which bounds a task's memory for any size of cluster. A
+   class goes to a pair of blocks only if it met a class of the other block in a band. Within a pair of blocks, the
+   classes that met in a band are compared by their full shingle sets, each pair once however many bands it met in. A
+   class gets a row with its count of links, and the verified links a spanning forest: no row for a pair.
 5. Connected components of the forests are the groups.
 
 Shingles are 64-bit hashes. A text with fewer than five words has all of them as its one shingle.
 
 Defined results: null and empty texts have no shingles, form no links, and are groups of their own; repeated rows and
 doc_ids count as copies; a null doc_id is a document like others, after all numbers; an empty table gives an empty
-result; further columns are ignored by the join, and passed through by the pipeline stage.
+result; further columns are ignored by the join, and passed through by the pipeline stage. Rows are known by doc_id and a
+64-bit hash of the text.
 """
 
 from __future__ import annotations
@@ -25,15 +27,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from gridloom.llm.common import SHINGLE_WORDS, SIMILARITY, WORD, buffers, materialize, mix, ngram_hashes, signed, slices, span_hashes, table, word_spans
+from gridloom.llm.common import SHINGLE_WORDS, SIMILARITY, buffers, lookup, materialize, mix, ngram_hashes, signed, slices, span_hashes, table, word_spans
 
 RECALL, MOST_HASHES = 0.9999, 128
 #: Classes in a block of a cluster: two blocks' shingle sets are in memory at once.
 BLOCK = 512
+#: Rows of (doc_id, hash) up to which a list of documents is broadcast to the texts; beyond, texts are shuffled to it.
+BROADCAST_ROWS = 1_000_000
 
 
 def choose_bands(similarity: float = SIMILARITY, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -74,15 +77,23 @@ def _seeds(k: int) -> tuple[np.ndarray, np.ndarray]:
     return r.integers(1, 1 << 63, k, dtype=np.uint64) | np.uint64(1), r.integers(1, 1 << 63, k, dtype=np.uint64)
 
 
+#: What stands for a null doc_id: after all numbers.
+LAST = (1 << 63) - 1
+
+
+def doc_key(doc_id: str) -> Column:
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
+
+
 def signatures(docs: DataFrame, bands: int, rows: int, n: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, size, digest, band hashes) of each text of ``docs`` (doc_id, text)."""
+    """(doc_id, hash of the text, size, digest and band hashes of its set) of each text of ``docs`` (doc_id, text)."""
 
     def run(batches):
         a, b = _seeds(bands * rows)
         for batch in batches:
             k = batch.num_rows
             size, digest, sign = np.zeros(k, np.int64), np.zeros((k, 2), np.uint64), np.zeros((k, bands), np.uint64)
-            for i, h, at in shingle_sets(batch.column(1), n):
+            for i, h, at in shingle_sets(batch.column(2), n):
                 count = np.diff(at)
                 size[i : i + len(count)] = count
                 some = np.flatnonzero(count)
@@ -98,9 +109,9 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int = SHINGLE_WORDS) -
                         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(x ^ (x >> np.uint64(31)), first))
                     sign[i + some, band] = key
             lists = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * bands), pa.array(signed(sign.ravel())))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(size), pa.array([digest[i].tobytes() for i in range(k)], pa.binary()), lists], ["doc_id", "size", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), pa.array([digest[i].tobytes() for i in range(k)], pa.binary()), lists], ["doc_id", "hash", "size", "digest", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, "doc_id long, size long, digest binary, bands array<long>")
+    return docs.select(doc_key("doc_id").alias("doc_id"), F.xxhash64("text").alias("hash"), "text").mapInArrow(run, "doc_id long, hash long, size long, digest binary, bands array<long>")
 
 
 def digest_of(h: np.ndarray) -> bytes:
@@ -111,17 +122,20 @@ def digest_of(h: np.ndarray) -> bytes:
 def components(links: DataFrame, name: str, rounds: int = 40) -> DataFrame:
     """(node, root) of every node in ``links`` (a, b): the least node of its connected component.
 
-    Alternating large-star and small-star steps: every step is an aggregation by node, and each round is written to the
-    shared folder. A node with very many neighbours is one key, but its least neighbour is a partial minimum and its
-    links are joined to that minimum, so no task holds its list.
+    Alternating large-star and small-star steps: every step is an aggregation by node, and each is written to the shared
+    folder. A node's least neighbour is a partial minimum; the links of a node with very many neighbours meet it by
+    ``lookup``, so no task gets them all.
     """
+
+    def nearest(e: DataFrame) -> DataFrame:
+        return materialize(e.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), f"{name}-least")
+
     e = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = nearest(both).select("a", F.least("a", "m").alias("m"), "n")
+        large = materialize(lookup(both.where("b > a"), least, "a", "n").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), f"{name}-large")
+        small = lookup(large, nearest(large), "a", "n").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         new = materialize(small, name)
         # At the end every node has one link, to a root that has none: then another round changes nothing.
         sums = [x.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("h")).first() for x in (e, new)]
@@ -133,19 +147,31 @@ def components(links: DataFrame, name: str, rounds: int = 40) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def _compare(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Which of left and right are linked, by exact intersections of their sets.
+def met_in_band(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which rows of band hashes agree in a band."""
+    out = np.zeros((len(left), len(right)), bool)
+    for k in range(left.shape[1]):
+        out |= left[:, k][:, None] == right[:, k][None, :]
+    return out
+
+
+def _compare(left: list[np.ndarray], right: list[np.ndarray], met: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of left and right that met are linked, by exact intersections of their sets.
 
-    Shingles that only one set has can't be shared, so only the others become columns; columns are taken in runs, which
-    bounds the dense matrices.
+    Few pairs are intersected one by one. Many are one product of matrices: shingles that only one set has can't be shared,
+    so only the others become columns; columns are taken in runs, which bounds the dense matrices.
     """
     size_l, size_r = np.array([len(x) for x in left]), np.array([len(x) for x in right])
     shared = np.zeros((len(left), len(right)), np.float32)
-    hl, hr = np.concatenate(left), np.concatenate(right)
-    rl, rr = np.repeat(np.arange(len(left)), size_l), np.repeat(np.arange(len(right)), size_r)
-    both = np.intersect1d(hl, hr)
-    if len(both):
-        for x in np.array_split(both, max(1, len(both) // 4096)):
+    pairs = np.argwhere(met)
+    if len(pairs) <= 4 * (len(left) + len(right)):
+        for i, j in pairs.tolist():
+            shared[i, j] = len(np.intersect1d(left[i], right[j], assume_unique=True))
+    else:
+        hl, hr = np.concatenate(left), np.concatenate(right)
+        rl, rr = np.repeat(np.arange(len(left)), size_l), np.repeat(np.arange(len(right)), size_r)
+        both = np.intersect1d(hl, hr)
+        for x in np.array_split(both, max(1, len(both) // 4096)) if len(both) else ():
             cols = []
             for h, r, k in ((hl, rl, len(left)), (hr, rr, len(right))):
                 at = np.searchsorted(x, h)
@@ -156,7 +182,7 @@ def _compare(left: list[np.ndarray], right: list[np.ndarray], similarity: float)
                 cols.append(m)
             shared += cols[0] @ cols[1].T
     union = size_l[:, None] + size_r[None, :] - shared
-    return shared >= similarity * union - 1e-6 * union
+    return met & (shared >= similarity * union - 1e-6 * union)
 
 
 def _forest(linked: np.ndarray, same: bool) -> list[tuple[int, int]]:
@@ -180,7 +206,7 @@ def _forest(linked: np.ndarray, same: bool) -> list[tuple[int, int]]:
 
 
 def verify(members: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE_WORDS) -> DataFrame:
-    """Compares the classes of each pair of blocks; members: cluster, i, j (blocks), side, node, weight, text.
+    """Compares the classes of each pair of blocks that met in a band; members: cluster, i, j (blocks), side, node, weight, bands, text.
 
     Returns (node, other, links): a row for each class with its number of links, where other is null, and a row for each
     link of the spanning forest, where links is 0.
@@ -196,9 +222,10 @@ def verify(members: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE_
             if not left or not (same or right):
                 return
             right = left if same else right
-            linked = _compare([x[2] for x in left], [x[2] for x in right], similarity)
+            met = met_in_band(*(np.array([x[3] for x in side], np.int64) for side in (left, right)))
             if same:
-                np.fill_diagonal(linked, False)
+                np.fill_diagonal(met, False)
+            linked = _compare([x[2] for x in left], [x[2] for x in right], met, similarity)
             wl, wr = np.array([x[1] for x in left]), np.array([x[1] for x in right])
             rows = [(left[i][0], None, int(c)) for i, c in enumerate(linked @ wr) if c]
             if not same:
@@ -213,107 +240,95 @@ def verify(members: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE_
             for i, h, at in shingle_sets(b.column("text"), n):
                 for r in range(len(at) - 1):
                     sets[i + r] = h[at[r] : at[r + 1]].copy()
-            c = [b.column(x).to_pylist() for x in ("cluster", "i", "j", "side", "node", "weight")]
-            for r, (cluster, i, j, side, node, weight) in enumerate(zip(*c, strict=True)):
+            c = [b.column(x).to_pylist() for x in ("cluster", "i", "j", "side", "node", "weight", "bands")]
+            for r, (cluster, i, j, side, node, weight, bands) in enumerate(zip(*c, strict=True)):
                 if (cluster, i, j) != key:
                     if held:
                         yield from done()
                     held, key = {}, (cluster, i, j)
-                if digest_of(sets[r]) == node:  # else another text with the same doc_id
-                    held[side, node] = (node, weight, sets[r])
+                if digest_of(sets[r]) == node:  # else another text with the same doc_id and hash
+                    held[side, node] = (node, weight, sets[r], bands)
         if held:
             yield from done()
 
     return members.mapInArrow(run, "node binary, other binary, links long")
 
 
-#: What stands for a null doc_id: after all numbers.
-LAST = (1 << 63) - 1
+def listed(keys: DataFrame) -> DataFrame:
+    """A written list of documents, for a join with texts: by broadcast up to BROADCAST_ROWS rows."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
+def deal(placed: DataFrame) -> DataFrame:
+    """(cluster, i, j, side, node) of the pairs of blocks that each class goes to, i <= j; ``placed`` has node, root, blocks, block and bands."""
+    one = placed.where("blocks = 1").select("node", "root", "block", F.col("block").alias("o"))
+    # In a cluster of many blocks, a class meets its own block and those that share a band's bucket with it.
+    inside = placed.where("blocks > 1").select("node", "root", "block", F.posexplode("bands").alias("band", "hash"))
+    there = inside.select("root", "band", "hash", F.col("block").alias("o")).distinct()
+    many = inside.join(there, ["root", "band", "hash"]).select("node", "root", "block", "o").distinct()
+    return one.unionByName(many).select(F.col("root").alias("cluster"), F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), (F.col("block") > F.col("o")).cast("int").alias("side"), "node")
 
 
 def known_classes(docs: DataFrame, similarity: float, n: int) -> tuple[DataFrame, DataFrame]:
-    """The signatures of the texts, and the classes: node, first (least doc_id), root of its group, least (doc_id of the group), weight, links."""
+    """The signatures of the texts, and the classes: node, first and hash (of its least document), root of its group, weight, links, least (doc_id of the group) and leader (whether it is the group's first class)."""
     bands, rows = choose_bands(similarity)
     sig = materialize(signatures(docs, bands, rows, n), "shingles")
-    last = F.lit(LAST)
     # A class is known by the digest of its set; its text is fetched from its first document.
-    full = sig.where("size > 0").withColumn("doc_id", F.coalesce("doc_id", last))
-    classes = materialize(full.groupBy(F.col("digest").alias("node")).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("weight"), F.first("bands").alias("bands")), "copies")
-    each = classes.select("node", F.posexplode("bands").alias("band", "hash"))
-    least = each.groupBy("band", "hash").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("band", "hash", "low")
-    stars = each.join(least, ["band", "hash"]).where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    classes = sig.where("size > 0").groupBy(F.col("digest").alias("node")).agg(F.min(F.struct("doc_id", "hash")).alias("f"), F.count(F.lit(1)).alias("weight"), F.first("bands").alias("bands"))
+    classes = materialize(classes.select("node", F.col("f.doc_id").alias("first"), "f.hash", "weight", "bands"), "copies")
+    each = classes.select("node", F.posexplode("bands").alias("band", "key"))
+    least = each.groupBy("band", "key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("band", "key", "low")
+    stars = each.join(least, ["band", "key"]).where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
     clusters = components(stars, "candidate-stars")
-    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("k"))
+    sizes = materialize(clusters.groupBy("root").agg(F.count(F.lit(1)).alias("k")), "cluster-sizes")
     # A class falls into a block by its hash; blocks are half full on average.
-    placed = clusters.join(sizes, "root").withColumn("blocks", F.ceil(F.col("k") / (BLOCK // 2)).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.join(classes.select("node", "first", "weight"), "node")
-    # Each class goes to every pair of blocks with its own: (i, j) with i <= j, as the first or second side.
-    dealt = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.col("root").alias("cluster"), F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), (F.col("block") > F.col("o")).cast("int").alias("side"), "node", "weight", "first")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("first"), F.col("text"))
-    whole = dealt.join(texts, "first").drop("first").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    found = materialize(verify(whole, similarity, n), "verified")
+    placed = lookup(clusters, sizes, "root", "k").withColumn("blocks", F.ceil(F.col("k") / (BLOCK // 2)).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = materialize(placed.join(classes, "node"), "placed-classes")
+    mine = listed(materialize(placed.select("first", "hash").distinct(), "class-documents"))
+    # Equal rows are one text; copies among rows without an id are folded by partial aggregates.
+    texts = docs.select(doc_key("doc_id").alias("first"), F.xxhash64("text").alias("hash"), "text").join(mine, ["first", "hash"], "left_semi")
+    texts = texts.groupBy("first", "hash").agg(F.min("text").alias("text"))
+    whole = deal(placed).join(placed.select("node", "first", "hash", "weight", "bands").join(texts, ["first", "hash"]).drop("first", "hash"), "node")
+    found = materialize(verify(whole.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j"), similarity, n), "verified")
     links = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")), "verified-links")
-    known = classes.join(groups, "node", "left").join(links, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"), "weight", F.coalesce("links", F.lit(0)).alias("links"))
-    return sig, known.join(known.groupBy("root").agg(F.min("first").alias("least")), "root")
+    known = classes.drop("bands").join(groups, "node", "left").join(links, "node", "left").select("node", "first", "hash", F.coalesce("root", "node").alias("root"), "weight", F.coalesce("links", F.lit(0)).alias("links"))
+    known = materialize(known, "class-groups")
+    heads = known.groupBy("root").agg(F.min(F.struct("first", "hash", "node")).alias("head"), F.count(F.lit(1)).alias("in_group"))
+    out = lookup(known, materialize(heads, "group-heads"), "root", "in_group")
+    return sig, materialize(out.select("node", "first", "hash", "root", "weight", "links", F.col("head.first").alias("least"), (F.col("head.node") == F.col("node")).alias("leader")), "classes")
 
 
 def join(docs: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE_WORDS) -> DataFrame:
     """One row per document: doc_id, class_id (least doc_id of its group of linked texts), copy_id (least doc_id with its very set), n_copies, n_links."""
     sig, known = known_classes(docs, similarity, n)
-    out = sig.select("doc_id", F.when(F.col("size") > 0, F.col("digest")).alias("node")).join(known, "node", "left")
-    alone = F.col("first").isNull()
-    named = lambda c: F.when(alone | (F.col(c) == F.lit(LAST)), F.col("doc_id")).otherwise(F.col(c))
-    return out.select("doc_id", named("least").alias("class_id"), named("first").alias("copy_id"), F.when(alone, 1).otherwise(F.col("weight")).cast("long").alias("n_copies"), F.when(alone, 0).otherwise(F.col("weight") - 1 + F.col("links")).cast("long").alias("n_links"))
-
-
-def with_node(docs: DataFrame, text: str, n: int = SHINGLE_WORDS) -> DataFrame:
-    """``docs`` with the digest of each text's set as ``_node``."""
-
-    def run(batches):
-        for b in batches:
-            nodes = []
-            for _, h, at in shingle_sets(b.column(b.schema.get_field_index(text)), n):
-                nodes += [digest_of(h[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes, pa.binary())], [*b.schema.names, "_node"])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_node", T.BinaryType())]))
+    named = lambda c: F.when(F.col(c) < LAST, F.col(c)).alias(c)
+    rows = sig.select(named("doc_id"), "size", F.col("digest").alias("node"))
+    some = lookup(rows.where("size > 0"), known, "node", "weight").select("doc_id", named("least").alias("class_id"), named("first").alias("copy_id"), F.col("weight").alias("n_copies"), (F.col("weight") - 1 + F.col("links")).cast("long").alias("n_links"))
+    return some.unionByName(rows.where("size = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links")))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one that bears the group's id, and one of its rows where several do.
+    """One document of each group: its least doc_id (a null one only if there is no other), and one row of it.
 
-    A group is led by its class with the least doc_id. Where all doc_ids are unique numbers, the documents only meet a list
-    of ids to keep. Rows of null or repeated ids are found by the digests of their sets as well; copies among them are
-    dropped by partial aggregates before they meet the leaders, so no task holds the copies of one text. Texts without
-    shingles stay, once for each repeated id and text.
+    The other rows are listed by doc_id and hash of the text, and the texts meet that list; where rows are equal in both, one
+    of them is left, by partial aggregates. Texts without shingles stay, once for each repeated id and text; all of
+    those without an id stay.
     """
     names = docs.columns
     flat = docs.toDF(*(f"c{i}" for i in range(len(names))))
     doc, text = (f"c{names.index(x)}" for x in ("doc_id", "text"))
-    key = F.coalesce(F.col(doc).cast("long"), F.lit(LAST))
-    sig, known = known_classes(docs, SIMILARITY, SHINGLE_WORDS)
-    leaders = materialize(known.where("first = least").groupBy("root").agg(F.min("node").alias("_leader"), F.min("first").alias("_first")).select("_first", "_leader"), "leaders")
-    keep = leaders.select(F.col("_first").alias("_keep")).unionByName(sig.where("size = 0").select(F.col("doc_id").alias("_keep"))).where(F.col("_keep") < LAST).distinct()
-    # The texts meet the list of ids once.
-    kept = flat.where(key < LAST).join(keep, key == F.col("_keep"), "left_semi")
-    twice = materialize(sig.where(F.col("doc_id") < LAST).groupBy(F.col("doc_id").alias("_twice")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_twice"), "repeated-ids")
-    parts, loose = [kept], []
-    if not twice.isEmpty():
-        parts = [kept.join(twice, key == F.col("_twice"), "left_anti")]
-        loose.append(kept.join(twice, key == F.col("_twice"), "left_semi"))
-    if not sig.where(F.coalesce("doc_id", F.lit(LAST)) == LAST).isEmpty():
-        loose.append(flat.where(key == LAST))
-    solid = F.coalesce(F.col(text).rlike(WORD), F.lit(False))
-    for rows in loose:
-        one = with_node(rows.where(solid), text).withColumn("_key", key).dropDuplicates(["_key", "_node"])
-        parts.append(one.join(leaders, (F.col("_key") == F.col("_first")) & (F.col("_node") == F.col("_leader")), "left_semi").select(*flat.columns))
-        blank = rows.where(~solid)
-        parts += [blank.where(key == LAST), blank.where(key < LAST).dropDuplicates([doc, text])]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out.toDF(*names)
+    sig, known = known_classes(docs.select("doc_id", "text"), SIMILARITY, SHINGLE_WORDS)
+    leaders = known.where("leader").select(F.col("first").alias("doc_id"), "hash")
+    others = materialize(sig.where("size > 0").join(leaders, ["doc_id", "hash"], "left_anti").select(F.col("doc_id").alias("_first"), F.col("hash").alias("_hash")).distinct(), "near-duplicates")
+    same = sig.where(f"size > 0 or doc_id < {LAST}").groupBy(F.col("doc_id").alias("_first"), F.col("hash").alias("_hash")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    same = materialize(same.join(others, ["_first", "_hash"], "left_anti").select("_first", "_hash"), "equal-rows")
+    rows = flat.withColumns({"_key": doc_key(doc), "_text": F.xxhash64(text)})
+    on = (F.col("_key") == F.col("_first")) & (F.col("_text") == F.col("_hash"))
+    kept = rows.join(listed(others), on, "left_anti")
+    if not same.isEmpty():
+        kept = kept.join(listed(same), on, "left_anti").unionByName(kept.join(listed(same), on, "left_semi").dropDuplicates(["_key", "_text"]))
+    return kept.select(*flat.columns).toDF(*names)
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
