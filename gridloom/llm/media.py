@@ -1,8 +1,8 @@
 """Media columns: content-addressed payloads in tar shards, and rows that carry digest, shard, offset and length.
 
 Every payload is stored losslessly as a PNG image, 64 pixels of three 8-bit samples wide, under the digest of its
-payload. Each task writes tar shards into the shared folder and stores a digest once in its shards; where several
-tasks stored the same digest, one copy is elected and all rows refer to it. Shards are read back by range: first the
+payload. Each task writes tar shards into the shared folder and stores a digest once while it is among the last REMEMBERED
+of the task; where a digest is stored more than once, one copy is elected and all rows refer to it. Shards are read back by range: first the
 33 bytes of signature and header, which fill the metadata columns, then the stored form itself.
 
 Shards of a lost task stay unreferenced, and a task that runs again writes new ones; the table of rows is fixed on
@@ -26,12 +26,14 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialize, scratch_path, table
+from gridloom.llm.common import lookup, materialize, scratch_path, table
 
 ROW, WIDTH = 192, 64
 #: Bytes from which on a task begins a new shard, and the effort of compression.
 SHARD_BYTES, LEVEL = 64 << 20, 1
 HEADER_BYTES = 33
+#: Digests that a task remembers to have stored: some 200 bytes each.
+REMEMBERED = 200_000
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -139,7 +141,10 @@ def store(docs: DataFrame, root: str) -> DataFrame:
                 if digest not in known:
                     media = to_png(payload)
                     known[digest] = (*writer.add(f"{digest.hex()}.png", media), len(media))
-                rows.append((n, digest.hex(), *known[digest]))
+                place = known[digest] = known.pop(digest)  # the last used stays longest
+                if len(known) > REMEMBERED:
+                    del known[next(iter(known))]
+                rows.append((n, digest.hex(), *place))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True))], ["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
         writer.close()
@@ -147,20 +152,35 @@ def store(docs: DataFrame, root: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(write, STORED)
 
 
+class Shards:
+    """Range reads from the shards below ``root``; one of them is open at a time."""
+
+    def __init__(self, root: str):
+        self.fs, self.path = filesystem(root)
+        self.name, self.source = "", None
+
+    def read(self, shard: str, offset: int, length: int) -> bytes:
+        if shard != self.name:
+            self.close()
+            self.name, self.source = shard, self.fs.open_input_file(f"{self.path}/{shard}")
+        return self.source.read_at(length, offset)
+
+    def close(self) -> None:
+        if self.source is not None:
+            self.source.close()
+            self.name, self.source = "", None
+
+
 def headers(media: DataFrame, root: str) -> DataFrame:
     """``media`` (digest, shard, offset, length) with width, height and sample_bits, from range reads of the headers only."""
 
     def read(batches):
-        f, path = filesystem(root)
-        name, source = "", None
+        shards = Shards(root)
         for b in batches:
-            found = []
-            for shard, offset in zip(b.column("shard").to_pylist(), b.column("offset").to_pylist(), strict=True):
-                if shard != name:
-                    name, source = shard, f.open_input_file(f"{path}/{shard}")
-                found.append(png_header(source.read_at(HEADER_BYTES, offset))[:3])
+            found = [png_header(shards.read(x, at, HEADER_BYTES))[:3] for x, at in zip(b.column("shard").to_pylist(), b.column("offset").to_pylist(), strict=True)]
             w, h, s = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(w, pa.int64()), pa.array(h, pa.int64()), pa.array(s, pa.int32())], [*b.schema.names, "width", "height", "sample_bits"])
+        shards.close()
 
     return media.mapInArrow(read, "digest string, shard string, offset long, length long, width long, height long, sample_bits int")
 
@@ -169,19 +189,17 @@ def read_back(media: DataFrame, root: str) -> DataFrame:
     """What the stored bytes of ``media`` (with header columns) give."""
 
     def read(batches):
-        f, path = filesystem(root)
-        name, source = "", None
+        shards = Shards(root)
         for b in batches:
             rows = []
             for m in b.to_pylist():
-                if m["shard"] != name:
-                    name, source = m["shard"], f.open_input_file(f"{path}/{m['shard']}")
-                stored = source.read_at(m["length"], m["offset"])
+                stored = shards.read(m["shard"], m["offset"], m["length"])
                 payload = from_png(stored)
                 rows.append((m["digest"], m["shard"], m["offset"], m["length"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), m["width"], m["height"], m["sample_bits"], feature_of(payload)))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 13
             kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], READ_NAMES)
+        shards.close()
 
     return media.mapInArrow(read, READ)
 
@@ -190,10 +208,10 @@ def media_columns(docs: DataFrame, root: str) -> DataFrame:
     """Stores the payloads below ``root``; one row per document with its place in the shards and its columns."""
     rows = materialize(store(docs, root), "media-rows")
     # One copy of each digest; ranges of a shard are read in order by one task.
-    media = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("m")).select("digest", "m.*")
-    media = media.repartition(F.col("shard")).sortWithinPartitions("shard", "offset")
-    columns = materialize(read_back(headers(media, root), root), "media-columns")
-    return rows.drop("shard", "offset", "length").join(columns, "digest")
+    elected = materialize(rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("m"), F.count(F.lit(1)).alias("n_rows")), "media-elected")
+    media = elected.select("digest", "m.*").repartition(F.col("shard")).sortWithinPartitions("shard", "offset")
+    columns = read_back(headers(media, root), root).join(elected.select("digest", "n_rows"), "digest")
+    return lookup(rows.drop("shard", "offset", "length"), materialize(columns, "media-columns"), "digest", "n_rows").drop("n_rows")
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ turned into a score by a logistic curve.
 
 Weights and curve are learned from labels: a seed lexicon is joined by words and stems that labelled texts show to be
 toxic. Learning takes at most SAMPLE labelled rows, those of least hash; the term counts over them are made in parallel
-and only the best TERMS of them reach the driver.
+and only terms with enough evidence reach the driver, all of them: LEAST_TEXTS groups of texts each.
 
 Defined results: null and empty texts have no hits and get the score of a clean text; a null doc_id counts as not held
 out for reporting and never carries a label; labels that are null are skipped, several labels of a doc_id each count;
@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import crc_mod, materialize, table
+from gridloom.llm.common import crc_mod, free_name, materialize, table
 
 HELD_OUT_OF, HELD_OUT, THRESHOLD = 4, 2, 0.3
-#: Bound of the labelled rows that are learned from, and of the lexicon.
-SAMPLE, TERMS = 40_000, 4_000
+#: Bound of the labelled rows that are learned from.
+SAMPLE = 40_000
 #: Fewest different groups of texts with a learned term, its least share of toxic texts, and the lengths of stems.
 LEAST_TEXTS, LEAST_SHARE, STEMS = 5, 0.8, (4, 5, 6, 7, 8, 9)
 #: Seed terms (fixed values), and the weight that they have unless labels speak against it.
@@ -173,7 +173,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     weight = F.log((F.col("toxic") + 0.5) / (toxic_texts + 1.0)) - F.log((F.col("clean") + 0.5) / (clean_texts + 1.0))
     good = (F.col("groups") >= LEAST_TEXTS) & (F.col("toxic") >= LEAST_SHARE * (F.col("toxic") + F.col("clean"))) & (weight > 0)
     against = F.col("term").isin(list(words)) & ~F.col("stem") & (F.col("clean") > F.col("toxic"))
-    for r in counts.withColumn("weight", weight).where(good | against).orderBy(F.desc("toxic"), "term", "stem").limit(TERMS).collect():
+    for r in counts.withColumn("weight", weight).where(good | against).orderBy("term", "stem").collect():
         if r["clean"] > r["toxic"]:
             words.pop(r["term"], None)
         else:
@@ -226,14 +226,6 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str, name: str = "sco
     return score(docs, learn(docs, table(spark, sf_dir, "labels")), name=name)
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """``name``, with underscores before it until no column has it."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = "_" + name
-    return name
-
-
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't toxic."""
     name = free_name(docs, "_toxicity")
