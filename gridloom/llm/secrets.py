@@ -2,15 +2,16 @@
 
 A scan finds credential-like spans in whole texts: assignments, access keys, long hexadecimal runs, and further long
 tokens of mixed characters as candidates. The secret part of each is hashed, and hashes are counted over the corpus by
-distinct repositories (documents) and distinct owners (sources). What EXAMPLE_OWNERS owners or more have is a widely copied
-example; what fewer have and looks random is live. Candidates beyond the base kinds become spans only if they are live;
-base spans always stay, with their verdict.
+distinct repositories (documents) and distinct owners (sources). What EXAMPLE_OWNERS owners or more have, or
+EXAMPLE_REPOSITORIES repositories or more even of one owner, is a widely copied example; what fewer have and looks random
+is live. Candidates beyond the base kinds become spans only if they are live; base spans always stay, with their verdict.
 
 Only hashes and counts are shuffled, never texts, and a hash that a third of all rows hold is counted by partial sums.
 
-Defined results: a null or empty text has no spans; a null source is an owner of its own; repeated rows and repeated
-doc_ids give a row each and count as one repository by doc_id; an empty table gives an empty result; further columns
-are ignored by the scan and passed through by the pipeline stage.
+Defined results: a null or empty text has no spans; a null source is an owner of its own, and so is that of a table without
+the column source; repeated rows and repeated doc_ids give a row each and count as one repository by doc_id, null
+doc_ids together as another one; an empty table gives an empty result; further columns are ignored by the scan and
+passed through by the pipeline stage.
 """
 
 from __future__ import annotations
@@ -18,20 +19,19 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-import secrets
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import buffers, materialize, slices, table
+from gridloom.llm.common import buffers, lookup, materialize, slices, table
 
 KINDS = ("assign", "access", "hex", "token")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX, MIN_TOKEN = 6, 20, 24, 20
-#: Owners from which on a value is a widely copied example, and the bits a character of a value that looks random.
-EXAMPLE_OWNERS, LIVE_BITS = 3, 2.5
+#: Owners, and repositories, from which on a value is a widely copied example, and the bits a character of a value that looks random.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES, LIVE_BITS = 3, 50, 2.5
 #: Parts of placeholder values (fixed values).
 PLACEHOLDERS = ("example", "changeme", "placeholder", "xxxx", "your", "dummy", "sample", "123456", "abcdef", "test")
 
@@ -114,29 +114,42 @@ def _scan(batches):
             base, more = find(text, hexes.get(r, []), tokens.get(r, []))
             kinds = [x[0] for x in base]
             found = [{"kind": k, "start": s, "end": e, "value": hashlib.sha256(v.encode()).hexdigest()[:32], "random": looks_random(v)} for k, s, e, v in sorted(base + more, key=lambda x: (x[1], x[0]))]
-            rows.append((secrets.randbits(63), *(kinds.count(k) for k in range(3)), hashlib.sha256(joined(base).encode()).hexdigest(), found))
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+            rows.append((*(kinds.count(k) for k in range(3)), hashlib.sha256(joined(base).encode()).hexdigest(), found))
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 5
         item = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("random", pa.bool_())])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(cols[0], pa.int64()), b.column("_doc").cast(pa.int64()), b.column("_owner").cast(pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:4]), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.list_(item))],
+            [b.column("_uid"), b.column("_doc"), b.column("_owner"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.list_(item))],
             ["uid", "doc_id", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "found"],
         )
 
 
+def owner_of(source: Column | None) -> Column:
+    """Who owns a repository; a null source and a missing column are one owner."""
+    return F.lit("\0") if source is None else F.coalesce(source.cast("string"), F.lit("\0"))
+
+
+def verdicts(each: DataFrame) -> DataFrame:
+    """(value, owners, repositories, n, example) of the candidates ``each`` (value, owner, doc_id): counts by partial sums, never a list of a value's rows."""
+    repository = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
+    owned = each.groupBy("value").agg(F.count_distinct("owner").alias("owners"), F.count_distinct(repository).alias("repositories"), F.count(F.lit(1)).alias("n"))
+    return materialize(owned.withColumn("example", (F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repositories") >= EXAMPLE_REPOSITORIES)), "secret-owners")
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document: base counts and digest, and every candidate with its verdict and span."""
-    found = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("_owner"), F.col("text").alias("_text")).mapInArrow(_scan, SCAN)
-    found = materialize(found, "secrets")  # row ids are random, so they are fixed here
+    source = F.col("source") if "source" in docs.columns else None
+    # Rows are told apart by their place in the input, so a task that runs again gives the same rows.
+    found = docs.select(F.monotonically_increasing_id().alias("_uid"), F.col("doc_id").cast("long").alias("_doc"), owner_of(source).alias("_owner"), F.col("text").alias("_text")).mapInArrow(_scan, SCAN)
+    found = materialize(found, "secrets")
     each = found.where(F.size("found") > 0).select("uid", "doc_id", "owner", F.explode("found").alias("f")).select("uid", "doc_id", "owner", "f.*")
-    owned = each.groupBy("value").agg(F.count_distinct("owner").alias("owners"), F.count_distinct(F.coalesce("doc_id", F.lit(-1))).alias("repositories"))
-    example = F.col("owners") >= EXAMPLE_OWNERS
-    judged = each.join(owned, "value").withColumn("verdict", F.when(example, "example").when(F.col("random"), "live").otherwise("unclear"))
+    judged = lookup(each, verdicts(each), "value", "n").withColumn("verdict", F.when(F.col("example"), "example").when(F.col("random"), "live").otherwise("unclear"))
     kept = judged.where((F.col("kind") < 3) | (F.col("verdict") == "live"))
     spans = kept.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "verdict", "owners", "repositories"))).alias("all"))
     names = F.array(*map(F.lit, KINDS))
     text = F.array_join(F.transform("all", lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"], x["end"])), ",")
     count = lambda v: F.coalesce(F.size(F.filter("all", lambda x: x["verdict"] == v)), F.lit(0)).cast("long")
-    return found.join(spans, "uid", "left").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce(text, F.lit("")).alias("spans"), count("live").alias("n_live"), count("example").alias("n_example"), F.coalesce("all", F.array().cast("array<struct<start:bigint,kind:int,end:bigint,verdict:string,owners:bigint,repositories:bigint>>")).alias("all"))
+    most = F.coalesce(F.array_max(F.transform("all", lambda x: x["repositories"])), F.lit(0)).cast("long")
+    return found.join(spans, "uid", "left").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce(text, F.lit("")).alias("spans"), count("live").alias("n_live"), count("example").alias("n_example"), most.alias("most_repositories"), F.coalesce("all", F.array().cast("array<struct<start:bigint,kind:int,end:bigint,verdict:string,owners:bigint,repositories:bigint>>")).alias("all"))
 
 
 #: What a redacted span becomes.
@@ -167,21 +180,20 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = docs.columns
     place = {n: f"c{i}" for i, n in enumerate(names)}
     flat = docs.toDF(*place.values())
-    text, owner, doc = place["text"], place.get("source"), place["doc_id"]
+    text, doc = place["text"], place["doc_id"]
+    own = owner_of(F.col(place["source"]) if "source" in place else None)
 
     def candidates(batches):
         for b in batches:
-            idx = b.schema.get_field_index
-            view = pa.RecordBatch.from_arrays([b.column(idx(doc)).cast(pa.int64()), b.column(idx(owner)).cast(pa.string()), b.column(idx(text))], ["_doc", "_owner", "_text"])
-            got = next(_scan([view]))
-            yield pa.RecordBatch.from_arrays([*b.columns, got.column("uid"), got.column("found")], [*b.schema.names, "_uid", "_found"])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flat.schema.fields) + f", _uid long, _found {item}"
-    whole = materialize(flat.mapInArrow(candidates, schema), "secrets-stage")
-    own = F.coalesce(F.col(owner).cast("string"), F.lit("\0"))
-    each = whole.where(F.size("_found") > 0).select("_uid", own.alias("_owner"), F.explode("_found").alias("f")).select("_uid", "_owner", "f.*")
-    owners = each.groupBy("value").agg(F.count_distinct("_owner").alias("owners"))
-    live = each.where("random").join(owners.where(F.col("owners") < EXAMPLE_OWNERS), "value").groupBy("_uid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_live"))
+            column = lambda name: b.column(b.schema.get_field_index(name))
+            got = next(_scan([pa.RecordBatch.from_arrays([column("_uid"), column("_doc"), column("_owner"), column(text)], ["_uid", "_doc", "_owner", "_text"])]))
+            yield pa.RecordBatch.from_arrays([*b.columns, got.column("found")], [*b.schema.names, "_found"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flat.schema.fields) + f", _uid long, _doc long, _owner string, _found {item}"
+    numbered = flat.select("*", F.monotonically_increasing_id().alias("_uid"), F.col(doc).cast("long").alias("_doc"), own.alias("_owner"))
+    whole = materialize(numbered.mapInArrow(candidates, schema), "secrets-stage")
+    each = whole.where(F.size("_found") > 0).select("_uid", F.col("_doc").alias("doc_id"), F.col("_owner").alias("owner"), F.explode("_found").alias("f")).select("_uid", "doc_id", "owner", "f.*")
+    live = lookup(each, verdicts(each), "value", "n").where(F.col("random") & ~F.col("example")).groupBy("_uid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_live"))
 
     def masked(batches):
         at = [place[n] for n in names].index(text)
@@ -198,4 +210,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example")
+    return scan(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example", "most_repositories")
