@@ -10,7 +10,7 @@ the triples around it): no segmentation can cross such a place. Each distinct se
    ranks isn't its encoding, so that fold follows the merges over the same lattice.)
 
 Characters outside of the vocabulary fall back to byte pieces. Texts then look up their segments by chunk (see
-``exchange``) and are decoded again as a check.
+``exchange``) and are decoded again; a text that decodes to another one raises an error.
 
 The vocabulary file is a parameter; it is read on the driver, and its tables (a fixed size) go to the tasks.
 
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import exchange
 from gridloom.llm.common import buffers, materialize, release, slices, span_hashes, table
-from gridloom.llm.exchange import Answers, Chunk, cut, n_buckets, narrow, pack, unpack
+from gridloom.llm.exchange import Answers, Chunk, n_buckets, narrow, pack, unpack
 from gridloom.llm.quality import let
 
 MODEL = os.environ.get("GRIDLOOM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -194,11 +194,8 @@ def _ask(v: Vocabulary, buckets: int):
             s = parts[p][1]
             i = f - int(base[p])
             words[k] = s.data[s.starts[i] : s.ends[i]].tobytes()
-        edges = cut(own, buckets)
-        for b in range(buckets):
-            i, j = int(edges[b]), int(edges[b + 1])
-            if j > i:
-                yield b, pack(narrow(np.array([len(w) for w in words[i:j]])), np.frombuffer(b"".join(words[i:j]), np.uint8))
+        for b, i, j in exchange.split(own, buckets):
+            yield b, pack(narrow(np.array([len(w) for w in words[i:j]])), np.frombuffer(b"".join(words[i:j]), np.uint8))
 
     return ask
 
@@ -212,7 +209,8 @@ def _words(body: bytes) -> list[bytes]:
 def lattice(words: DataFrame, v: Vocabulary) -> DataFrame:
     """(word, edges, singles): the pieces of several and of one character in each word of at most LONG characters, packed, with key = start * 256 + length.
 
-    Starts and lengths are exploded as integers, so substrings are cut inside generated code.
+    Starts and lengths are exploded as integers, so substrings are cut inside generated code. Every character of a word
+    is a row of its lattice, with or without a piece, so no word is lost and none has to be joined back.
     """
     spark = words.sparkSession
     # The first three characters bound the length of a piece, so hopeless substrings are never cut.
@@ -225,8 +223,8 @@ def lattice(words: DataFrame, v: Vocabulary) -> DataFrame:
     # The piece table is a fixed vocabulary file, so the broadcast doesn't grow; words stay where they are. Joining by
     # the hash and then comparing pieces is the equi-join with a key of one machine word.
     pieces = v.table(spark).select(F.xxhash64("piece").alias("h"), F.col("piece").alias("p"), "entry")
-    found = each.withColumn("h", F.xxhash64("piece")).join(F.broadcast(pieces), "h").where("piece = p")
-    packed = F.shiftleft("key", ID_BITS + COST_BITS) + F.col("entry")
+    found = each.withColumn("h", F.xxhash64("piece")).join(F.broadcast(pieces), "h", "left").where("piece = p or key % 256 = 1")
+    packed = F.shiftleft("key", ID_BITS + COST_BITS) + F.when(F.col("piece") == F.col("p"), F.col("entry"))
     return found.groupBy("word").agg(F.collect_list(F.when(F.col("key") % 256 > 1, packed)).alias("edges"), F.collect_list(F.when(F.col("key") % 256 == 1, packed)).alias("singles"))
 
 
@@ -355,9 +353,7 @@ def merge_long(text: str, v: Vocabulary, rank: dict[str, tuple[int, int]]) -> li
 
 def encode_words(words: DataFrame, v: Vocabulary) -> DataFrame:
     """(word, ids) of distinct words; ids is null for words of more than LONG characters, which ``_packed`` fills in."""
-    short = words.where(F.char_length("word") <= LONG)
-    # Words without any edge have no row in the lattice.
-    done = fold(short.join(lattice(short, v), "word", "left"), v)
+    done = fold(lattice(words.where(F.char_length("word") <= LONG), v), v)
     return done.unionByName(words.where(F.char_length("word") > LONG).select("word", F.lit(None).cast("array<int>").alias("ids")))
 
 
@@ -377,12 +373,10 @@ def _packed(encoded: DataFrame, v: Vocabulary, buckets: int) -> DataFrame:
             flat = ids.flatten().to_numpy(zero_copy_only=False)
             begin = np.cumsum(size) - size
             order = np.argsort(hashes)
-            edges = cut(hashes[order], buckets)
             rows = []
-            for k in range(buckets):
-                mine = order[edges[k] : edges[k + 1]]
-                if len(mine):
-                    rows.append((k, pack(exchange.deltas(hashes[mine]), narrow(size[mine]), narrow(flat[_gather(begin[mine], size[mine])]))))
+            for k, i, j in exchange.split(hashes[order], buckets):
+                mine = order[i:j]
+                rows.append((k, pack(exchange.deltas(hashes[mine]), narrow(size[mine]), narrow(flat[_gather(begin[mine], size[mine])]))))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "body"])
         release()
 
@@ -403,7 +397,9 @@ def encode(docs: DataFrame, v: Vocabulary | None = None) -> DataFrame:
         return pa.table([pa.array([w.decode() for w in own], pa.string())], ["word"])
 
     words = materialize(asked.groupBy("bucket").applyInArrow(distinct, "word string"), "segments")
-    encoded = materialize(_packed(encode_words(words.repartition("word"), v), v, buckets), "encoded-segments")
+    # A word's lattice is some twenty rows, so tasks are dealt few words and sort them without spilling.
+    tasks = max(1, -(-words.count() // WORDS_OF_TASK))
+    encoded = materialize(_packed(encode_words(words.repartition(tasks, "word"), v), v, buckets), "encoded-segments")
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = [unpack(b) for b in right.column("body").to_pylist()]
@@ -446,6 +442,10 @@ def encode(docs: DataFrame, v: Vocabulary | None = None) -> DataFrame:
                     raw_ends = np.concatenate([[0], np.cumsum(raw_size)])[ends]
                     # The space that was put before a text is taken off again.
                     texts = [raw[i + 1 : j].tobytes().decode() for i, j in zip(raw_ends[:-1], raw_ends[1:], strict=True)]
+                    at_text = c.offsets[first : first + rows + 1]
+                    for i, text in enumerate(texts):
+                        if text.encode() != (want := c.data[at_text[i] : at_text[i + 1]].tobytes()) and text != want.decode().replace(SPACE, " "):
+                            raise ValueError(f"document {c.ids[first + i]} decodes to another text: two of its segments have one hash")
                     yield pa.RecordBatch.from_arrays([pa.array(c.ids[first : first + rows], pa.int64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out)), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
         release()
 
@@ -454,6 +454,8 @@ def encode(docs: DataFrame, v: Vocabulary | None = None) -> DataFrame:
 
 #: Text bytes of a chunk: larger ones repeat fewer segments, and take about 20 times their size of memory.
 PIECE_CHUNK = 4 << 20
+#: Distinct segments of a task that folds lattices.
+WORDS_OF_TASK = 25_000
 
 
 def _gather(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
