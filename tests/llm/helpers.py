@@ -1,6 +1,7 @@
 """Plain, slow versions of the operators, and a fixture with all the odd cases."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -107,3 +108,120 @@ def links(texts, similarity=0.8):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return count, [find(i) for i in range(len(texts))]
+
+
+def thue_morse(n):
+    """Two different words of n letters that sums of powers modulo 2**64 can't tell apart for large n."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def fill(total, weight, cap):
+    """Shares of ``total`` by weight; what is above a cap is shared again."""
+    out, open_ = dict.fromkeys(weight, 0.0), {k for k in weight if weight[k] > 0}
+    while total > 1e-9 and open_:
+        every = sum(weight[k] for k in open_)
+        share, total = {k: total * weight[k] / every for k in open_}, 0.0
+        for k in list(open_):
+            out[k] += share[k]
+            if out[k] >= cap[k]:
+                total += out[k] - cap[k]
+                out[k] = float(cap[k])
+                open_.discard(k)
+    return out
+
+
+def targets(sizes):
+    names = sorted((k for k in sizes if k is not None), key=lambda x: [ord(c) for c in x]) + ([None] if None in sizes else [])
+    return fill(1.5 * sum(sizes.values()), {k: (3.0, 1.0, 2.0)[i % 3] for i, k in enumerate(names)}, {k: 2.0 * sizes[k] for k in names})
+
+
+def plain_mix(rows):
+    """Copies of each (doc_id, text, source) by Pareto order sampling, one source after the other."""
+    tier = lambda n: 0.25 if n < 20 else 0.5 if n < 50 else 0.75 if n < 100 else 1.0
+    size = [len(words(t)) for _, t, _ in rows]
+    per = Counter()
+    for n, (_, _, s) in zip(size, rows, strict=True):
+        per[s] += n
+    goal, seen, copies = targets(dict(per)), Counter(), [0] * len(rows)
+    for s in per:
+        mine = [i for i, r in enumerate(rows) if r[2] == s and size[i]]
+        if not mine:
+            continue
+        by = Counter()
+        for i in mine:
+            by[tier(size[i])] += size[i]
+        share = fill(goal[s], {t: t * n for t, n in by.items()}, {t: 2.0 * n for t, n in by.items()})
+        expect = {t: min(2.0, share[t] / by[t]) for t in by}
+        left, ranked = goal[s], []
+        for i in mine:
+            e = expect[tier(size[i])]
+            copies[i] = int(e)
+            left -= int(e) * size[i]
+            p, key = e - int(e), (s, rows[i][0], size[i])
+            num = seen[key]
+            seen[key] += 1
+            if p > 0:
+                name = "|".join(["mix-1", "-" if rows[i][0] is None else str(rows[i][0]), str(size[i]), str(num)])
+                u = (int(hashlib.md5(name.encode()).hexdigest()[:12], 16) + 0.5) / (1 << 48)
+                ranked.append(((u / (1 - u)) / (p / (1 - p)), i))
+        done = 0
+        for _, i in sorted(ranked):
+            done += size[i]
+            copies[i] += done - size[i] / 2 <= left
+    return copies
+
+
+def plain_score(model, fold, text):
+    """The toxicity of a text, by looking at every place for every term."""
+    t = fold(text or "")
+    inside = lambda i: 0 <= i < len(t) and t[i].isalpha()
+    spared, best = set(), {}
+    for i in range(len(t)):
+        if inside(i - 1):
+            continue
+        for e in map(fold, model.exceptions):
+            if t.startswith(e, i) and not inside(i + len(e)):
+                spared.update(range(i, i + len(e)))
+        fits = [w for x, w in model.words.items() if t.startswith(x, i) and not inside(i + len(x))] + [w for x, w in model.stems.items() if t.startswith(x, i)]
+        if fits and max(fits) > 0:
+            best[i] = max(fits)
+    weight = sum(w for i, w in best.items() if i not in spared)
+    x = math.log1p(100 * weight / max(1, len((text or "").split()))) if weight else 0.0
+    z = model.curve[0] + model.curve[1] * x + model.curve[2] * (weight > 0)
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+
+ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+KINDS = ["assign", "access", "hex", "token"]
+
+
+def plain_secrets(rows):
+    """(base spans, all spans with their verdicts) of each (doc_id, text, source)."""
+    base, more = [], []
+    for _, t, _ in rows:
+        t = t or ""
+        spans = [("assign", m.start(), m.end(), m[1]) for m in ASSIGN.finditer(t) if len(m[1]) >= 6]
+        spans += [("access", m.start(), m.end(), m[0]) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if m.end() - m.start() >= 20]
+        spans += [("hex", m.start(), m.end(), m[0]) for m in re.finditer(r"[0-9a-f]{24,}", t)]
+        base.append(sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]))))
+        runs = [("token", m.start(), m.end(), m[0]) for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t)]
+        more.append([r for r in runs if re.search("[0-9]", r[3]) and re.search("[A-Za-z]", r[3]) and not any(b[1] < r[2] and r[1] < b[2] for b in base[-1])])
+    owners, repositories = defaultdict(set), defaultdict(set)
+    for (doc, _, source), b, m in zip(rows, base, more, strict=True):
+        for x in b + m:
+            owners[x[3]].add(source)
+            repositories[x[3]].add(doc)
+
+    def verdict(v):
+        if len(owners[v]) >= 3 or len(repositories[v]) >= 50:
+            return "example"
+        entropy = -sum(c / len(v) * math.log2(c / len(v)) for c in Counter(v).values())
+        known = ("example", "changeme", "placeholder", "xxxx", "your", "dummy", "sample", "123456", "abcdef", "test")
+        return "live" if entropy >= 2.5 and re.search("[0-9]", v) and not any(p in v.lower() for p in known) else "unclear"
+
+    out = []
+    for b, m in zip(base, more, strict=True):
+        every = [(*x, verdict(x[3])) for x in b + m]
+        out.append((b, sorted((x for x in every if x[0] != "token" or x[4] == "live"), key=lambda x: (x[1], KINDS.index(x[0])))))
+    return out

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from helpers import base_quality, empty_frame, odd_frame, words, write_folder
+from helpers import base_quality, empty_frame, odd_frame, plain_mix, targets, words, write_folder
 
 from gridloom.llm import mixing, quality
 
@@ -61,25 +61,6 @@ def test_quality_is_native(spark, docs):
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"))
 
 
-def fill(sizes):
-    """Targets by repeated resharing."""
-    names = sorted((k for k in sizes if k is not None), key=lambda x: [ord(c) for c in x]) + ([None] if None in sizes else [])
-    weight = {k: mixing.WEIGHTS[i % 3] for i, k in enumerate(names)}
-    target = {k: 0.0 for k in names}
-    left, open_ = mixing.SHARE * sum(sizes.values()), set(names)
-    while left > 1e-9 and open_:
-        total = sum(weight[k] for k in open_)
-        share = {k: left * weight[k] / total for k in open_}
-        left = 0.0
-        for k in list(open_):
-            target[k] += share[k]
-            if target[k] >= 2 * sizes[k]:
-                left += target[k] - 2 * sizes[k]
-                target[k] = 2.0 * sizes[k]
-                open_.discard(k)
-    return target
-
-
 @pytest.mark.parametrize("which", ["odd", "docs"])
 def test_mixing(request, which):
     df = request.getfixturevalue(which)
@@ -93,22 +74,24 @@ def test_mixing(request, which):
         sizes[k] = sizes.get(k, 0) + r["size"]
         taken[k] = taken.get(k, 0) + r["taken"]
         most[k] = max(most.get(k, 0), r["size"])
-    want = fill(sizes)
+    want = targets(sizes)
     for r in rows:
         assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(want[r["source"]], abs=1e-6)
     # the sum of taken words ends within the larger of two documents at the cut
     assert all(abs(taken[k] - want[k]) <= most[k] for k in sizes)
+    plain = [(r["doc_id"], r["text"], r["source"]) for r in texts]
+    assert sorted(repr((r["doc_id"], r["size"], r["copies"])) for r in rows) == sorted(repr((d, len(words(t)), c)) for (d, t, _), c in zip(plain, plain_mix(plain), strict=True))
     again = mixing.mix(df.repartition(3)).collect()
     assert sorted(map(repr, again)) == sorted(map(repr, rows))
 
 
 def test_pareto_inclusion(spark):
     """Over many draws, documents are included about as often as their expectation says, shorter ones half as often."""
-    rows = [(i, " ".join(["w"] * (20 if i % 2 else 60)), None, "ab"[i % 7 == 0]) for i in range(4000)]
+    rows = [(i, " ".join(["w"] * (20 if i % 2 else 160)), None, "ab"[i % 7 == 0]) for i in range(4000)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
     got = [r for r in mixing.mix(df).collect() if r["source"] == "a"]
-    e = {s: sum(r["copies"] for r in got if r["size"] == s) / sum(1 for r in got if r["size"] == s) for s in (20, 60)}
-    assert e[20] == pytest.approx(e[60] / 2, rel=0.15) or e[60] == 2.0
+    e = {s: sum(r["copies"] for r in got if r["size"] == s) / sum(1 for r in got if r["size"] == s) for s in (20, 160)}
+    assert e[20] == pytest.approx(e[160] / 2, rel=0.15)
 
 
 def test_mixing_edges(spark, tmp_path):
@@ -127,3 +110,24 @@ def test_queries_run(spark, tmp_path):
     folder = write_folder(spark, tmp_path, odd_frame(spark))
     assert mixing.op2_mixing(spark, folder).columns == ["doc_id", "size", "source_size", "target", "taken"]
     assert quality.op1_quality(spark, folder).count() == odd_frame(spark).count()
+
+
+def test_mixing_is_native(spark, docs):
+    for df in (mixing.mix(docs), mixing.shares(mixing.decide(docs)[0]), mixing.stage(spark, docs, "")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"))
+
+
+@pytest.mark.parametrize("ids", ["null", "equal", "third null", "few"])
+def test_mixing_of_ties(spark, ids):
+    """Rows without an id of their own are drawn one by one: every source comes within a document of its target."""
+    name = {"null": lambda i: None, "equal": lambda i: 7, "third null": lambda i: None if i % 3 == 0 else i, "few": lambda i: i % 5}[ids]
+    rows = [(name(i), " ".join(["w"] * 100), "abc"[i % 3 if i % 2 else 0]) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    want, got = targets({s: 100 * sum(r[2] == s for r in rows) for s in "abc"}), dict.fromkeys("abc", 0)
+    for r in mixing.mix(df).collect():
+        got[r["source"]] += r["taken"]
+    assert all(abs(got[s] - want[s]) <= 100 for s in "abc")
+    staged = mixing.stage(spark, df, "")
+    assert {s: 100 * staged.where(f"source = '{s}'").count() for s in "abc"} == got
+    assert sorted(plain_mix([r for r in rows])) == sorted(r["copies"] for r in mixing.mix(df).collect())
