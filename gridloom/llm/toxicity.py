@@ -30,11 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import crc_mod, free_name, materialize, table
+from gridloom.llm.common import crc_mod, free_name, materialize, release, table
 
 HELD_OUT_OF, HELD_OUT, THRESHOLD = 4, 2, 0.3
 #: Bound of the labelled rows that are learned from.
 SAMPLE = 40_000
+#: Terms whose counts a task holds before it hands them on.
+HELD_TERMS = 150_000
 #: Fewest different groups of texts with a learned term, its least share of toxic texts, and the lengths of stems.
 LEAST_TEXTS, LEAST_SHARE, STEMS = 5, 0.8, (4, 5, 6, 7, 8, 9)
 #: Seed terms (fixed values), and the weight that they have unless labels speak against it.
@@ -158,9 +160,17 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
                         x[toxic > 0] += 1
                         if toxic > 0:
                             x[2] |= 1 << group
+                if len(seen) >= HELD_TERMS:
+                    yield counted(seen)
+                    seen.clear()
+        yield counted(seen)
+        seen.clear()
+        release()
+
+    def counted(seen):
         keys = list(seen)
         part = np.array([seen[k] for k in keys], np.uint64).reshape(-1, 3)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.bool_()), pa.array([k[1] for k in keys], pa.string()), *(pa.array(part[:, i].view(np.int64) if i == 2 else part[:, i].astype(np.int64)) for i in range(3))], ["stem", "term", "clean", "toxic", "groups"])
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.bool_()), pa.array([k[1] for k in keys], pa.string()), *(pa.array(part[:, i].view(np.int64) if i == 2 else part[:, i].astype(np.int64)) for i in range(3))], ["stem", "term", "clean", "toxic", "groups"])
 
     sizes = known.groupBy((F.col("_toxic") > 0).alias("t")).count().collect()
     toxic_texts = sum(r["count"] for r in sizes if r["t"])
@@ -173,7 +183,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     weight = F.log((F.col("toxic") + 0.5) / (toxic_texts + 1.0)) - F.log((F.col("clean") + 0.5) / (clean_texts + 1.0))
     good = (F.col("groups") >= LEAST_TEXTS) & (F.col("toxic") >= LEAST_SHARE * (F.col("toxic") + F.col("clean"))) & (weight > 0)
     against = F.col("term").isin(list(words)) & ~F.col("stem") & (F.col("clean") > F.col("toxic"))
-    for r in counts.withColumn("weight", weight).where(good | against).orderBy("term", "stem").collect():
+    # Terms with the evidence of LEAST_TEXTS groups of at most SAMPLE texts: a bounded list, sorted here for reruns to agree.
+    for r in sorted(counts.withColumn("weight", weight).where(good | against).collect(), key=lambda r: (r["term"], r["stem"])):
         if r["clean"] > r["toxic"]:
             words.pop(r["term"], None)
         else:
@@ -218,6 +229,7 @@ def score(docs: DataFrame, model: Model, text_column: str = "text", name: str =
                 x, hit = features(a, t.as_py())
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, b0 + b1 * x + b2 * hit)))))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], [*b.schema.names, name])
+        release()
 
     return docs.mapInArrow(run, schema)
 
