@@ -123,7 +123,7 @@ class ShardWriter:
 
 
 STORED = "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
-READ = "digest string, shard string, offset long, length long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width long, height long, sample_bits int, feature string"
+READ = "digest string, shard string, offset long, length long, n_rows long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width long, height long, sample_bits int, feature string"
 
 READ_NAMES = [x.split()[0] for x in READ.split(", ")]
 
@@ -172,7 +172,7 @@ class Shards:
 
 
 def headers(media: DataFrame, root: str) -> DataFrame:
-    """``media`` (digest, shard, offset, length) with width, height and sample_bits, from range reads of the headers only."""
+    """``media`` (digest, shard, offset, length, n_rows) with width, height and sample_bits, from range reads of the headers only."""
 
     def read(batches):
         shards = Shards(root)
@@ -182,7 +182,7 @@ def headers(media: DataFrame, root: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(w, pa.int64()), pa.array(h, pa.int64()), pa.array(s, pa.int32())], [*b.schema.names, "width", "height", "sample_bits"])
         shards.close()
 
-    return media.mapInArrow(read, "digest string, shard string, offset long, length long, width long, height long, sample_bits int")
+    return media.mapInArrow(read, "digest string, shard string, offset long, length long, n_rows long, width long, height long, sample_bits int")
 
 
 def read_back(media: DataFrame, root: str) -> DataFrame:
@@ -195,9 +195,9 @@ def read_back(media: DataFrame, root: str) -> DataFrame:
             for m in b.to_pylist():
                 stored = shards.read(m["shard"], m["offset"], m["length"])
                 payload = from_png(stored)
-                rows.append((m["digest"], m["shard"], m["offset"], m["length"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), m["width"], m["height"], m["sample_bits"], feature_of(payload)))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 13
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+                rows.append((m["digest"], m["shard"], m["offset"], m["length"], m["n_rows"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), m["width"], m["height"], m["sample_bits"], feature_of(payload)))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 14
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], READ_NAMES)
         shards.close()
 
@@ -208,10 +208,10 @@ def media_columns(docs: DataFrame, root: str) -> DataFrame:
     """Stores the payloads below ``root``; one row per document with its place in the shards and its columns."""
     rows = materialize(store(docs, root), "media-rows")
     # One copy of each digest; ranges of a shard are read in order by one task.
-    elected = materialize(rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("m"), F.count(F.lit(1)).alias("n_rows")), "media-elected")
-    media = elected.select("digest", "m.*").repartition(F.col("shard")).sortWithinPartitions("shard", "offset")
-    columns = read_back(headers(media, root), root).join(elected.select("digest", "n_rows"), "digest")
-    return lookup(rows.drop("shard", "offset", "length"), materialize(columns, "media-columns"), "digest", "n_rows").drop("n_rows")
+    elected = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("m"), F.count(F.lit(1)).alias("n_rows"))
+    media = elected.select("digest", "m.*", "n_rows").repartition(F.col("shard")).sortWithinPartitions("shard", "offset")
+    columns = materialize(read_back(headers(media, root), root), "media-columns")
+    return lookup(rows.drop("shard", "offset", "length"), columns, "digest", "n_rows").drop("n_rows")
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
