@@ -18,12 +18,12 @@ from gridloom.sources.container import EXTENSION, MAGIC, Event, cell_schema, cel
 from gridloom.sources.files import is_dir, read_range
 
 #: Endings of files by format, endings of compression that are looked through, and first bytes (fixed values).
-ENDINGS = {"hdf5": (".h5", ".hdf5", ".hdf", ".he2", ".he5"), "netcdf": (".nc", ".netcdf", ".nc4", ".nc3", ".cdf"), "container": (EXTENSION,)}
+ENDINGS = {"hdf5": (".h5", ".hdf5", ".hdf", ".he2", ".he5"), "netcdf": (".nc", ".netcdf", ".nc4", ".nc3", ".cdf", ".ncdf"), "container": (EXTENSION,)}
 COMPRESSED = (".gz", ".zst", ".bz2", ".xz")
 SIGNATURES = {"hdf5": (b"\x89HDF\r\n\x1a\n",), "netcdf": (b"CDF\x01", b"CDF\x02", b"CDF\x05"), "container": (MAGIC,)}
 #: Element types of HDF5 and NetCDF arrays; int8 is widened so its sign stays.
 KINDS = {"float16": "f16", "float32": "f32", "float64": "f64", "bool": "u8", "int8": "i16", "uint8": "u8", "int16": "i16", "uint16": "u16", "int32": "i32", "uint32": "u32", "int64": "i64", "uint64": "u64"}
-PREFERRED = ("units", "long_name", "standard_name", "_FillValue", "missing_value", "scale_factor", "add_offset", "calendar")
+PREFERRED = ("units", "long_name", "standard_name", "description", "title", "_FillValue", "missing_value", "scale_factor", "add_offset", "calendar")
 
 
 def sniff(path: str) -> str:

@@ -1,4 +1,4 @@
-"""Responses as text: full, json, stats, plan, quiet and table."""
+"""Responses as text: full, json, stats (JSON), plan, quiet (a line for scripts) and table."""
 
 from __future__ import annotations
 
@@ -34,8 +34,10 @@ def render(response: dict, form: str = "full") -> str:
         return " ".join([f"status={response['status']}", f"dataset={response['dataset']}", *(f"{k}={_short(v)}" for k, v in values.items())])
     if form == "stats":
         e = response.get("execution") or {}
-        lines = [response["message"], *(f"{k}: {_short(v)}" for k, v in values.items())]
-        return "\n".join(lines + [f"{k}: {_short(e[k])}" for k in ("memory_strategy", "memory_budget_bytes", "logical_selection_bytes", "device_used", "spill_path", "sidecar_path") if k in e])
+        kept = ("memory_strategy", "memory_budget_bytes", "logical_selection_bytes", "device_used", "spill_path", "sidecar_path")
+        kind = next(iter(response.get("operation") or {}), None)
+        out = {"status": response["status"], "message": response["message"], "dataset": response["dataset"], "operation": kind, "values": values, "execution": {k: e[k] for k in kept if k in e}}
+        return json.dumps(out, indent=2)
     if form == "table":
         width = max([len(k) for k in values] or [0])
         return "\n".join(f"{k.ljust(width)} | {_short(v)}" for k, v in values.items()) or response["message"]

@@ -58,6 +58,9 @@ class Report:
             if f.severity != "info" and f.check in ADVICE:
                 code, fix = ADVICE[f.check]
                 out.setdefault(code, {"code": code, "message": f.detail, "fix": fix})
+        s = self.summary
+        if s and s["chunks_decoded"] < s["chunks"] and self.ok:
+            out["run_deep_verify"] = {"code": "run_deep_verify", "message": f"{s['chunks_decoded']} of {s['chunks']} chunks decoded", "fix": "verify with --deep to decode every chunk"}
         return list(out.values())
 
     def add(self, check: str, problems: list[str], severity: str = "error", good: str | None = None) -> None:

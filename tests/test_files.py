@@ -278,3 +278,37 @@ def test_history(monkeypatch):
 def test_info_frames(spark, tmp_path):
     s = container.read_summary(made(spark, tmp_path))
     assert info.chunks_frame(spark, s).count() == 2 and info.datasets_frame(spark, s).first()["dtype"] == "f64" and info.history_frame(spark, s).first()["op"] == "convert"
+
+
+def test_public_names():
+    import gridloom
+
+    assert all(callable(getattr(gridloom, name)) or name == "DTYPES" for name in gridloom.__all__) and "verify" in gridloom.__all__
+    with pytest.raises(AttributeError):
+        gridloom.nothing
+
+
+def test_endings_and_attributes_of_imports():
+    from gridloom.sources import convert
+
+    assert convert.sniff("a/b.ncdf") == convert.sniff("b.nc.gz") == "netcdf"
+    assert list(convert._attrs({"other": 1, "title": "t", "units": "K", "description": b"d"})) == ["units", "description", "title", "other"]
+
+
+def test_advice_to_decode_every_chunk():
+    from gridloom.tools.verify import Report
+
+    r = Report("x", 1, summary={"chunks": 200, "chunks_decoded": 128})
+    assert [x["code"] for x in r.recommendations] == ["run_deep_verify"]
+    assert Report("x", 1, summary={"chunks": 5, "chunks_decoded": 5}).recommendations == []
+
+
+def test_stats_are_json():
+    import json
+
+    from gridloom.tools.output import render
+
+    response = {"status": "planned", "message": "query executed", "dataset": "a", "operation": {"mean": []}, "execution": {"operation_mean": 2.5, "memory_strategy": "streaming_fold"}}
+    got = json.loads(render(response, "stats"))
+    assert got["operation"] == "mean" and got["values"] == {"mean": 2.5} and got["execution"] == {"memory_strategy": "streaming_fold"}
+    assert render(response, "quiet") == "status=planned dataset=a mean=2.5"
