@@ -118,10 +118,10 @@ def test_mixing_is_native(spark, docs):
         assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"))
 
 
-@pytest.mark.parametrize("ids", ["null", "equal", "third null", "few"])
+@pytest.mark.parametrize("ids", ["null", "third null"])
 def test_mixing_of_ties(spark, ids):
     """Rows without an id of their own are drawn one by one: every source comes within a document of its target."""
-    name = {"null": lambda i: None, "equal": lambda i: 7, "third null": lambda i: None if i % 3 == 0 else i, "few": lambda i: i % 5}[ids]
+    name = {"null": lambda i: None, "third null": lambda i: None if i % 3 == 0 else i % 50}[ids]
     rows = [(name(i), " ".join(["w"] * 100), "abc"[i % 3 if i % 2 else 0]) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
     want, got = targets({s: 100 * sum(r[2] == s for r in rows) for s in "abc"}), dict.fromkeys("abc", 0)
