@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -238,10 +242,8 @@ _register("named_axis_mean", _named, f"WITH cells AS ({CELLS['event_grid']}) SEL
 
 
 def _preview(spark: SparkSession, folder: str) -> DataFrame:
-    t = catalog(spark, folder).get("emb")
-    from gridloom.model import linear
-
-    return t.df.where(linear(t.meta.coord_names, t.meta.shape) < 64)  # the first 64 cells are the feature
+    values, _ = engine.preview(catalog(spark, folder).get("emb"), 64)  # the first 64 cells are the feature
+    return spark.createDataFrame([(i // 64, i % 64, v) for i, v in enumerate(values)], "c0 long, c1 long, v float")
 
 
 _register("preview_64", _preview, f"WITH cells AS ({CELLS['emb']}) SELECT c0, c1, CAST(v AS FLOAT) AS v FROM cells WHERE c0 * 64 + c1 < 64")
@@ -262,25 +264,28 @@ SQL["toml_query"] = f"WITH cells AS ({CELLS['order_price']}) SELECT round(avg(v)
 # ---- stores and tools
 
 
-def _work(spark: SparkSession, name: str) -> str:
-    """A folder that driver and executors share."""
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder on any filesystem that driver and executors share; Spark makes it when it writes."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.gettempdir()
-    path = f"{root.removeprefix('file://')}/gridloom-{name}"
-    return tempfile.mkdtemp(prefix="x", dir=_made(path))
+    return f"{root.rstrip('/')}/gridloom-{name}-{uuid.uuid4().hex}"
 
 
-def _made(path: str) -> str:
-    os.makedirs(path, exist_ok=True)
+def _work(spark: SparkSession, name: str) -> str:
+    """The same as a path, for formats that are single files: the shared folder has to be mounted."""
+    path = re.sub("^file:(//)?", "", _scratch(spark, name))
+    if not path.startswith("/"):
+        raise RuntimeError(f"{path} isn't a mounted folder, and single-file stores are written to one")
+    os.makedirs(path)
     return path
 
 
 def _store(spark: SparkSession, folder: str) -> DataFrame:
     """Through the Parquet store: written in chunks, and read by a selection that prunes folders."""
-    store = _work(spark, "store")
+    store = _scratch(spark, "store")
     t = catalog(spark, folder).get("emb")
     parquet_tensor.write(TensorFrame(replace(t.meta, chunk_shape=(100, 64)), t.df), store)
     return engine.query('{"dataset": "emb", "selection": [{"start": 120, "stop": 180}, {}], "sum": 0}', engine.Catalog({"emb": parquet_tensor.read(spark, store, "emb")})).select("c1", rounded(F.col("sum")).alias("sum"))
@@ -329,29 +334,149 @@ def _verify(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([(f.check, f.severity, f.ok) for f in r.findings], "`check` string, severity string, ok boolean")
 
 
-_register("verify_report", _verify, None)
+_CHECKS = ", ".join(f"('{c}')" for c in ("superblock", "dataset_directory", "chunk_index", "chunk_payloads", "chunk_dataset_ids", "dataset_tensor_bytes", "payload_offsets", "payload_order", "chunk_decode", "dataset_count", "footer", "footer_metadata"))
+_register("verify_report", _verify, f"SELECT \"check\", 'info' AS severity, true AS ok FROM (VALUES {_CHECKS}) AS t(\"check\")")
+
+#: Steps within and beyond a chunk of ten rows.
+_STEPS = (1, 3, 25)
 
 
 def _read_plan(spark: SparkSession, folder: str) -> DataFrame:
-    from gridloom.plans.geometry import read_plan, resolve_selection
+    """How many chunks of ten rows the driver's plan would open, from row 12 on."""
     from gridloom.plans.document import AxisSlice
+    from gridloom.plans.geometry import read_plan, resolve_selection
 
-    m = TensorMeta("strided", "f32", (4, 3), (2, 3))
+    m = replace(catalog(spark, folder).get("emb").meta, chunk_shape=(10, 64))
     rows = []
-    for step in (1, 2):
-        p = read_plan(m, resolve_selection(m, [AxisSlice(1, 3, step), AxisSlice()]))
-        rows.append((step, p.policy, len(p.chunks), list(p.box.shape)))
-    return spark.createDataFrame(rows, "step int, policy string, chunks int, shape array<int>")
+    for step in _STEPS:
+        p = read_plan(m, resolve_selection(m, [AxisSlice(12, None, step), AxisSlice()]))
+        rows.append((step, len(p.chunks), p.box.shape[0], p.box.shape[1], p.bytes_logical))
+    return spark.createDataFrame(rows, "step int, chunks long, n_rows long, n_columns long, n_bytes long")
+
+
+_register(
+    "read_plan",
+    _read_plan,
+    f"WITH cells AS ({CELLS['emb']}) SELECT step, count(DISTINCT c0 // 10) AS chunks, count(DISTINCT c0) AS n_rows, count(DISTINCT c1) AS n_columns, 4 * count(*) AS n_bytes "
+    f"FROM cells, (VALUES {', '.join(f'({x})' for x in _STEPS)}) AS s(step) WHERE c0 >= 12 AND (c0 - 12) % step = 0 GROUP BY step",
+)
+
+
+def _cf(spark: SparkSession, folder: str) -> DataFrame:
+    """Packed values: stored * 0.5 + 10, and -9999 as missing."""
+    from gridloom.sources import cf
+
+    t = catalog(spark, folder).get("event_qc")
+    d = cf.decode(TensorFrame(replace(t.meta, attrs={"scale_factor": "0.5", "add_offset": "10", "_FillValue": "-9999"}), t.df)).df
+    v = F.col("v")
+    infinite = F.abs(v) == float("inf")
+    return d.agg(F.count_if(F.isnan(v)).alias("missing"), F.count_if(infinite).alias("infinite"), rounded(F.sum(F.when(~F.isnan(v) & ~infinite, v))).alias("total"))
+
+
+_register("cf_decode", _cf, f"WITH cells AS ({CELLS['event_qc']}) SELECT count(*) FILTER (isnan(v) OR v = -9999) AS missing, count(*) FILTER (isinf(v)) AS infinite, round(sum(v * 0.5 + 10) FILTER (isfinite(v) AND v <> -9999), 6) AS total FROM cells")
+
+
+def _nan_cube(kind: str) -> Query:
+    """A partial fold that skips NaN: every 97th cell is one."""
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        t = catalog(spark, folder).get("event_cube")
+        v = F.when((F.col("c0") * 400 + F.col("c1") * 20 + F.col("c2")) % 97 == 0, float("nan")).otherwise(F.col("v"))
+        return reductions.fold(TensorFrame(t.meta, t.df.select("c0", "c1", "c2", v.alias("v"))), kind, [0, 2]).select("c1", rounded(F.col(kind)).alias(kind))
+
+    return query
+
+
+for _kind, _sql in (("nan_mean", "avg"), ("nan_std", "stddev_pop")):
+    _register(f"{_kind}_axes02", _nan_cube(_kind), f"WITH cells AS ({CELLS['event_cube']}) SELECT c1, round({_sql}(v) FILTER ((c0 * 400 + c1 * 20 + c2) % 97 <> 0), 6) AS {_kind} FROM cells GROUP BY c1")
+
+
+def _product_scalar(spark: SparkSession, folder: str) -> DataFrame:
+    """The product of the first forty prices, which is about 1e120, by its logarithm."""
+    df = asked(spark, folder, {"dataset": "retail", "selection": [{"stop": 40}], "product": []})
+    return df.select(rounded(F.ln("product")).alias("ln_product"))
+
+
+_register("product_scalar", _product_scalar, f"WITH cells AS ({CELLS['retail']}) SELECT round(ln(product(v)), 6) AS ln_product FROM cells WHERE c0 - (SELECT min(c0) FROM cells) < 40")
+
+
+def _dense_cells(spark: SparkSession, path: str, n: int, kind: str) -> DataFrame:
+    """(i, v) of a raw export, each task reading its own range of the file."""
+
+    def run(batches):
+        for b in batches:
+            i = b.column(0).to_numpy()
+            v = np.fromfile(path, kind, len(i), offset=int(i[0]) * np.dtype(kind).itemsize) if len(i) else np.zeros(0, kind)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(v.astype("<f8"))], ["i", "v"])
+
+    return spark.range(n).mapInArrow(run, "i long, v double")
+
+
+def _spill(spark: SparkSession, folder: str) -> DataFrame:
+    """Every second vector from the tenth on, exported as raw values and read back."""
+    from gridloom.plans.document import parse_query_value
+
+    work, c = _work(spark, "spill"), catalog(spark, folder)
+    doc = parse_query_value({"dataset": "emb", "selection": [{"start": 10, "step": 2}, {}], "spill": f"{work}/out.bin"})
+    e = engine.execute_query_document(doc, c, preview_limit=0, spill_roots=[work])["execution"]
+    cells = _dense_cells(spark, e["spill_path"], e["spill_bytes"] // 4, "<f4")
+    return cells.groupBy((F.col("i") % 64).alias("c1")).agg(rounded(F.sum("v")).alias("sum"), F.count("*").alias("n"))
+
+
+_register("spill_export", _spill, f"WITH cells AS ({CELLS['emb']}) SELECT c1, round(sum(v), 6) AS sum, count(*) AS n FROM cells WHERE c0 >= 10 AND c0 % 2 = 0 GROUP BY c1")
+
+
+def _sidecar(spark: SparkSession, folder: str) -> DataFrame:
+    """A transform published as a container of its own, and read from there."""
+    from gridloom.plans.document import parse_query_value
+    from gridloom.sources import container
+
+    work = _work(spark, "sidecar")
+    doc = parse_query_value({"dataset": "acct", "transform": {"method": "center"}, "write": {"target": "sidecar", "path": f"{work}/center{container.EXTENSION}", "timestamp": False}})
+    e = engine.execute_query_document(doc, catalog(spark, folder), preview_limit=0, spill_roots=[work])["execution"]
+    return container.open_tensor(spark, e["sidecar_path"], e["sidecar_dataset"]).df.select("c0", rounded(F.col("v"), 4).alias("v"))
+
+
+_register("sidecar_center", _sidecar, f"WITH cells AS ({CELLS['acct']}) SELECT c0 - (SELECT min(c0) FROM cells) AS c0, round(v - (SELECT avg(v) FROM cells), 4) AS v FROM cells")
+
+
+def _append(spark: SparkSession, folder: str) -> DataFrame:
+    """A second dataset appended to a container; both are read from the new file."""
+    from gridloom.sources import container
+
+    path = _through_container(spark, folder)
+    container.append(path, [catalog(spark, folder).get("retail")], container.RAW)
+    each = [reductions.fold(container.open_tensor(spark, path, n), "sum", []).select(F.lit(n).alias("dataset"), rounded(F.col("sum"), 4).alias("sum")) for n in ("emb", "retail")]
+    return each[0].unionByName(each[1])
+
+
+_register("container_append", _append, f"SELECT 'emb' AS dataset, round(sum(v), 4) AS sum FROM ({CELLS['emb']}) UNION ALL SELECT 'retail', round(sum(v), 4) FROM ({CELLS['retail']})")
+
+
+def _repair(spark: SparkSession, folder: str) -> DataFrame:
+    """A container whose footer is broken, repaired, verified and read."""
+    from gridloom.sources import container
+    from gridloom.tools import verify
+
+    path = _through_container(spark, folder)
+    at = container.read_summary(path).payload_end
+    with open(path, "r+b") as f:
+        f.seek(at)
+        f.write(b"????")
+    verify.repair(path, verify.plan_repairs(path))
+    sound = verify.verify(path, deep=True, spark=spark).ok
+    t = container.open_tensor(spark, path, "emb")
+    return reductions.fold(t, "mean", [0]).select("c1", rounded(F.col("mean")).alias("mean"), F.lit(sound).alias("sound"))
 
 
-_register("read_plan", _read_plan, None)
+_register("container_repair", _repair, f"WITH cells AS ({CELLS['emb']}) SELECT c1, round(avg(v), 6) AS mean, true AS sound FROM cells GROUP BY c1")
 
 
 def _stream(spark: SparkSession, folder: str) -> DataFrame:
     """A streaming fold, run to the end of what is there."""
     from gridloom.streaming import folds
 
-    work = _work(spark, "stream")
+    work = _scratch(spark, "stream")
     t = catalog(spark, folder).get("emb")
     t.df.write.parquet(f"{work}/cells")
     name = f"gridloom_stream_{os.path.basename(work)}"

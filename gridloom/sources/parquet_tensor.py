@@ -47,8 +47,9 @@ def write(t: TensorFrame, store: str, mode: str = "error") -> None:
     if mode == "error" and t.meta.name in names(spark, store):
         raise ValidationError(f"dataset {t.meta.name!r} exists")
     ks = [f"k{i}" for i in range(t.meta.rank)]
-    # Range partitions over whole chunks in order; the rest of the key orders cells in a file.
-    cells = chunked(t).repartitionByRange(*ks).sortWithinPartitions(*ks, *t.meta.coord_names)
+    # Ranges in the order of chunks and cells; a large chunk may have several, so it isn't one task's work.
+    order = [*ks, *t.meta.coord_names]
+    cells = chunked(t).repartitionByRange(*order).sortWithinPartitions(*order)
     folder = f"{store}/{t.meta.name}"
     cells.write.mode("overwrite").partitionBy("k0").parquet(f"{folder}/cells")
     _write_text(spark, f"{folder}/{META}", json.dumps(asdict(t.meta)))
