@@ -479,7 +479,7 @@ def _stream(spark: SparkSession, folder: str) -> DataFrame:
     work = _scratch(spark, "stream")
     t = catalog(spark, folder).get("emb")
     t.df.write.parquet(f"{work}/cells")
-    name = f"gridloom_stream_{os.path.basename(work)}"
+    name = f"gridloom_stream_{uuid.uuid4().hex}"
     q = folds.start(folds.cell_stream(spark, t.meta, f"{work}/cells"), ["mean"], [0], name, f"{work}/checkpoint")
     try:
         q.processAllAvailable()
