@@ -10,8 +10,8 @@ and size of bands are chosen for a target recall at that similarity. The plan:
 4. Clusters are dealt out as pairs of blocks of about BLOCK classes, which bounds a task's memory for any size of cluster. A
    class goes to a pair of blocks only if it met a class of the other block in a band. Within a pair of blocks, the
    classes that met in a band are compared by their full shingle sets, each pair once however many bands it met in. A
-   class gets a row with its count of links, and the verified links a spanning forest: no row for a pair.
-5. Connected components of the forests are the groups.
+   class gets a row with its count of links, and one that names the least class that it is joined to: no row for a pair.
+5. Connected components of those stars are the groups; where a cluster is one pair of blocks, they are so at once.
 
 Shingles are 64-bit hashes. A text with fewer than five words has all of them as its one shingle.
 
@@ -133,15 +133,15 @@ def components(links: DataFrame, name: str, rounds: int = 40) -> DataFrame:
     e = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = nearest(both).select("a", F.least("a", "m").alias("m"), "n")
-        large = materialize(lookup(both.where("b > a"), least, "a", "n").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), f"{name}-large")
-        small = lookup(large, nearest(large), "a", "n").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        new = materialize(small, name)
-        # At the end every node has one link, to a root that has none: then another round changes nothing.
-        sums = [x.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("h")).first() for x in (e, new)]
-        e = new
-        if sums[0] == sums[1]:
+        least = nearest(both)
+        # A node with a lesser neighbour that has no other one: if all are such, links are stars around least nodes.
+        if least.where("m < a and n > 1").isEmpty():
             break
+        # Repeated links do no harm between the steps: there are no more than links before.
+        least = least.select("a", F.least("a", "m").alias("m"), "n")
+        large = materialize(lookup(both.where("b > a"), least, "a", "n").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b"), f"{name}-large")
+        small = lookup(large, nearest(large), "a", "n").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        e = materialize(small, name)
     else:
         raise RuntimeError("components didn't settle")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
@@ -185,31 +185,28 @@ def _compare(left: list[np.ndarray], right: list[np.ndarray], met: np.ndarray, s
     return met & (shared >= similarity * union - 1e-6 * union)
 
 
-def _forest(linked: np.ndarray, same: bool) -> list[tuple[int, int]]:
-    """Links that span the components of a block pair's link matrix; with ``same`` both sides are one block."""
-    nl, nr = linked.shape
-    parent = list(range(nl if same else nl + nr))
+def _stars(linked: np.ndarray, left: list[bytes], right: list[bytes]) -> list[tuple[bytes, bytes]]:
+    """(node, least node) of the components of a block pair's link matrix, for nodes that aren't the least of theirs; a node may be on both sides."""
+    parent: dict[bytes, bytes] = {}
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
+    def root(x: bytes) -> bytes:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
         return x
 
-    out = []
-    for i, j in zip(*np.nonzero(linked), strict=True):
-        a, b = root(int(i)), root(int(j) + (0 if same else nl))
+    for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
+        a, b = root(left[i]), root(right[j])
         if a != b:
             parent[max(a, b)] = min(a, b)
-            out.append((int(i), int(j)))
-    return out
+    return [(x, top) for x in parent if (top := root(x)) != x]
 
 
 def verify(members: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE_WORDS) -> DataFrame:
     """Compares the classes of each pair of blocks that met in a band; members: cluster, i, j (blocks), side, node, weight, bands, text.
 
     Returns (node, other, links): a row for each class with its number of links, where other is null, and a row for each
-    link of the spanning forest, where links is 0.
+    class that links join to a lesser one within the pair of blocks, with the least such class as other, where links is 0.
     """
 
     def run(batches):
@@ -230,7 +227,7 @@ def verify(members: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE_
             rows = [(left[i][0], None, int(c)) for i, c in enumerate(linked @ wr) if c]
             if not same:
                 rows += [(right[i][0], None, int(c)) for i, c in enumerate(wl @ linked) if c]
-            rows += [(left[i][0], right[j][0], 0) for i, j in _forest(linked, same)]
+            rows += [(node, least, 0) for node, least in _stars(linked, [x[0] for x in left], [x[0] for x in right])]
             if rows:
                 nodes, others, counts = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(others, pa.binary()), pa.array(counts, pa.int64())], ["node", "other", "links"])
