@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import SHINGLE_WORDS, SIMILARITY, buffers, lookup, materialize, mix, ngram_hashes, signed, slices, span_hashes, table, word_spans
+from gridloom.llm.common import SHINGLE_WORDS, SIMILARITY, buffers, lookup, materialize, mix, ngram_hashes, release, signed, slices, span_hashes, table, word_spans
 
 RECALL, MOST_HASHES = 0.9999, 128
 #: Classes in a block of a cluster: two blocks' shingle sets are in memory at once.
@@ -110,6 +110,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int = SHINGLE_WORDS) -
                     sign[i + some, band] = key
             lists = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * bands), pa.array(signed(sign.ravel())))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), pa.array([digest[i].tobytes() for i in range(k)], pa.binary()), lists], ["doc_id", "hash", "size", "digest", "bands"])
+        release()
 
     return docs.select(doc_key("doc_id").alias("doc_id"), F.xxhash64("text").alias("hash"), "text").mapInArrow(run, "doc_id long, hash long, size long, digest binary, bands array<long>")
 
@@ -247,6 +248,8 @@ def verify(members: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE_
                     held[side, node] = (node, weight, sets[r], bands)
         if held:
             yield from done()
+        held.clear()
+        release()
 
     return members.mapInArrow(run, "node binary, other binary, links long")
 

@@ -156,8 +156,10 @@ def segments(at: np.ndarray, data: np.ndarray, v: Vocabulary) -> Segments:
         none = np.zeros(0, np.int64)
         return Segments(data, none, none, none, none.astype(np.uint64), at)
     points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
-    size = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
-    place = np.cumsum(size) - size
+    size = np.ones(len(points), np.uint8)
+    for most in (0x7F, 0x7FF, 0xFFFF):
+        size += points > most
+    place = np.cumsum(size, dtype=np.int64) - size
     # A piece that spans two neighbours is their pair, or holds a triple of them with the character before or after.
     code = v.codes[points]
     joined = v.pairs[code[:-1], code[1:]]
@@ -176,26 +178,32 @@ def segments(at: np.ndarray, data: np.ndarray, v: Vocabulary) -> Segments:
     return Segments(data, starts.astype(np.int32), ends.astype(np.int32), rows.astype(np.int32), span_hashes(data, starts, ends), at)
 
 
+#: Text bytes that are cut into segments at once; their arrays take about 100 times that. Texts are never cut here.
+CUT_BYTES = 1 << 18
+
+
 def of_chunk(c: Chunk, v: Vocabulary) -> Iterator[tuple[int, Segments]]:
-    return ((i, segments(c.offsets[i : j + 1] - c.offsets[i], c.data[c.offsets[i] : c.offsets[j]], v)) for i, j in slices(c.offsets))
+    return ((i, segments(c.offsets[i : j + 1] - c.offsets[i], c.data[c.offsets[i] : c.offsets[j]], v)) for i, j in slices(c.offsets, CUT_BYTES))
 
 
 def _ask(v: Vocabulary, buckets: int):
     def ask(c: Chunk):
-        parts = list(of_chunk(c, v))
-        hashes = np.concatenate([s.hashes for _, s in parts]) if parts else np.zeros(0, np.uint64)
-        own, first = np.unique(hashes, return_index=True)
+        # Of each slice only the distinct segments are held: their hashes, sizes and bytes.
+        hashes, sizes, words = [], [], []
+        for _, s in of_chunk(c, v):
+            own, first = np.unique(s.hashes, return_index=True)
+            size = s.ends[first] - s.starts[first]
+            hashes.append(own)
+            sizes.append(size)
+            words.append(s.data[_gather(s.starts[first].astype(np.int64), size.astype(np.int64))])
+        own, first = np.unique(np.concatenate(hashes), return_index=True) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         if not len(own):
             return
-        base = np.cumsum([0, *(len(s.hashes) for _, s in parts)])
-        part = np.searchsorted(base, first, "right") - 1
-        words: list = [None] * len(own)
-        for k, (p, f) in enumerate(zip(part.tolist(), first.tolist(), strict=True)):
-            s = parts[p][1]
-            i = f - int(base[p])
-            words[k] = s.data[s.starts[i] : s.ends[i]].tobytes()
+        size, raw = np.concatenate(sizes).astype(np.int64), np.concatenate(words)
+        del hashes, sizes, words
+        begin, size = (np.cumsum(size) - size)[first], size[first]
         for b, i, j in exchange.split(own, buckets):
-            yield b, pack(narrow(np.array([len(w) for w in words[i:j]])), np.frombuffer(b"".join(words[i:j]), np.uint8))
+            yield b, pack(narrow(size[i:j]), raw[_gather(begin[i:j], size[i:j])])
 
     return ask
 
@@ -421,18 +429,17 @@ def encode(docs: DataFrame, v: Vocabulary | None = None) -> DataFrame:
     def run(batches):
         for b in batches:
             for c in exchange.chunks(b, PIECE_CHUNK):
-                parts = [(i, s.rows, s.at, s.hashes) for i, s in of_chunk(c, v)]
-                hashes = np.concatenate([p[3] for p in parts]) if parts else np.zeros(0, np.uint64)
-                parts = [(i, rows, ends, len(h)) for i, rows, ends, h in parts]
-                at = np.unique(hashes, return_inverse=True)[1].astype(np.int32)
-                got = [x for _, x in sorted(read(c.name).items())] if len(hashes) else []
+                parts = []
+                for i, s in of_chunk(c, v):
+                    own, at = np.unique(s.hashes, return_inverse=True)
+                    parts.append((i, s.rows, s.at, own, at.astype(np.int32)))
+                known = np.unique(np.concatenate([p[3] for p in parts])) if parts else np.zeros(0, np.uint64)
+                got = [x for _, x in sorted(read(c.name).items())] if len(known) else []
                 size = np.concatenate([x[0].astype(np.int64) for x in got]) if got else np.zeros(0, np.int64)
                 ids = np.concatenate([x[1].astype(np.int32) for x in got]) if got else np.zeros(0, np.int32)
                 begin = np.cumsum(size) - size
-                done = 0
-                for first, row_of, row_at, n in parts:
-                    mine = at[done : done + n]
-                    done += n
+                for first, row_of, row_at, own, at in parts:
+                    mine = np.searchsorted(known, own)[at]
                     out = ids[_gather(begin[mine], size[mine])]
                     rows = len(row_at) - 1
                     count = np.bincount(row_of, size[mine], rows).astype(np.int64)

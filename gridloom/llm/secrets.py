@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import buffers, lookup, materialize, slices, table
+from gridloom.llm.common import buffers, lookup, materialize, release, slices, table
 
 KINDS = ("assign", "access", "hex", "token")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX, MIN_TOKEN = 6, 20, 24, 20
@@ -188,6 +188,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             column = lambda name: b.column(b.schema.get_field_index(name))
             got = next(_scan([pa.RecordBatch.from_arrays([column("_uid"), column("_doc"), column("_owner"), column(text)], ["_uid", "_doc", "_owner", "_text"])]))
             yield pa.RecordBatch.from_arrays([*b.columns, got.column("found")], [*b.schema.names, "_found"])
+        release()
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flat.schema.fields) + f", _uid long, _doc long, _owner string, _found {item}"
     numbered = flat.select("*", F.monotonically_increasing_id().alias("_uid"), F.col(doc).cast("long").alias("_doc"), own.alias("_owner"))
@@ -202,6 +203,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             texts = [redact(t.as_py(), [(x["start"], x["end"]) for x in s or ()]) for t, s in zip(b.column(at), spans, strict=True)]
             cols = [c if i != at else pa.array(texts, pa.string()) for i, c in enumerate(b.columns[: len(names)])]
             yield pa.RecordBatch.from_arrays(cols, list(place.values()))
+        release()
 
     some = whole.where(F.size("_found") > 0).join(live, "_uid", "left").select(*place.values(), "_live").mapInArrow(masked, flat.schema)
     if "n_chars" in place:  # a length of the text, so it follows the text

@@ -196,6 +196,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         for b in batches:
             x = [features(a, t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in x], pa.float64()), pa.array([f[1] for f in x], pa.float64()), b.column(1).cast(pa.int32())], ["x", "hit", "toxic"])
+        release()
 
     # At most SAMPLE rows of three numbers, and grouped further.
     got = known.mapInArrow(measure, "x double, hit double, toxic int").groupBy(F.round("x", 2).alias("x"), "hit", (F.col("toxic") > 0).alias("y")).count().orderBy("x", "hit", "y").collect()

@@ -6,10 +6,12 @@ import math
 import re
 import tarfile
 import textwrap
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import KINDS, empty_frame, links, odd_documents, odd_frame, plain_mix, plain_score, plain_secrets, repeats, shingles, thue_morse, words, write_folder
 from hypothesis import given, settings
@@ -440,6 +442,24 @@ def test_pieces_tell_words_apart(spark, library):
     assert {r["doc_id"]: list(r["ids"]) for r in pieces.encode(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == {i: library.encode(t) for i, t in rows}
 
 
+def test_requests_of_segments_are_small():
+    """A chunk asks for each of its distinct segments once, and takes few times its size of memory to do so."""
+    v = pieces.Vocabulary.load(pieces.MODEL)
+    text = [" ".join(f"word{(i * 7919 + k) % 20_011} é漢{k % 97} tail{i % 89}," for k in range(100)) for i in range(1_500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(text)), pa.int64()), pa.array(text, pa.string())], ["doc_id", "text"])
+    (chunk,) = exchange.chunks(batch, 1 << 30)
+    ask = pieces._ask(v, 8)
+    tracemalloc.start()
+    bodies = [x for _, x in ask(chunk)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = [w for b in bodies for w in pieces._words(b)]
+    whole = pieces.segments(chunk.offsets, chunk.data, v)
+    want = {whole.data[i:j].tobytes() for i, j in zip(whole.starts, whole.ends, strict=True)}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert most < 12 * len(chunk.data), f"{most / len(chunk.data):.1f} times the chunk"
+
+
 def test_pieces_of_nothing(spark):
     assert pieces.encode(empty_frame(spark)).count() == 0
 
